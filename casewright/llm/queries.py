@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from casewright.llm import licenses, mixing, packing, sharding
+from casewright.llm import jaccard_join, licenses, mixing, packing, sharding
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op5_sharding": sharding.op5_sharding,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
