@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from casewright.llm import jaccard_join, licenses, mixing, packing, sharding
+from casewright.llm import ann, embedding_dedup, jaccard_join, licenses, mixing, packing, sharding
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op4_embedding_near_dedup": embedding_dedup.op4_embedding_near_dedup,
     "op5_sharding": sharding.op5_sharding,
+    "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
 ORACLE_SQL = {"op1_source_mixing": mixing.ORACLE}
