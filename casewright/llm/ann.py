@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from casewright.llm._store import materialize, table
 from casewright.llm._vectors import doubles, takes_part, unit
 
-TABLES, HASHES, WIDTH, PROBES = 10, 10, 2.5, 40
+TABLES, HASHES, WIDTH, PROBES = 10, 10, 2.5, 160
 #: Distance of the neighbours looked for, between unit vectors.
-NEAR = 1.05
+NEAR = 1.1
 CELL_ROWS = 8192
 _SPAN, _BASE = 3, 64
 
