@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.llm import ann, embedding_dedup, jaccard_join, licenses, mixing, packing, sharding
+from casewright.llm import ann, embedding_dedup, jaccard_join, licenses, mixing, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -12,5 +12,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL = {"op1_source_mixing": mixing.ORACLE}
