@@ -6,8 +6,8 @@
    rarest shingles first. Any fixed order is lossless; frequency makes it cheap: what many
    documents share comes last and seldom falls into a prefix.
 3. Two sets with Jaccard >= t share a shingle of their first n - ceil(t n) + 1 ones. The
-   prefix rows are sorted by (shingle, set size): neighbours there are the first
-   candidates, after the length and positional filters.
+   prefix rows are sorted by (shingle, position in the set): the first of a shingle and the
+   neighbours there are the first candidates, after the length and positional filters.
 4. Candidates are verified once per pair: a histogram of hash ranges bounds the overlap
    (the suffix filter), what remains is intersected in full.
 5. Links found so far give components. Only prefix groups that still span several
@@ -41,6 +41,8 @@ K = 5
 PERCENT = 75
 COUNTER_BITS = 22
 WANTED_BITS = 25
+#: Two that meet at so many prefix shingles are checked first, wherever those stand.
+OFTEN = 3
 _SEEN = 200_000
 
 
@@ -48,36 +50,47 @@ def content_id(words: list[bytes]) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
 
 
+def histogram(found: np.ndarray) -> bytes:
+    """Shingles per hash range, about one range for every four shingles."""
+    ranges = max(1, len(found) // 4).bit_length() - 1
+    counts = np.bincount((found >> np.uint64(63 - ranges) >> np.uint64(1)).astype(np.int64), minlength=1 << ranges)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def _frequency_levels(counts: np.ndarray) -> np.ndarray:
     """Counters on a logarithmic scale of 256 steps: 4 MB to broadcast."""
     return np.minimum(255, np.round(8 * np.log2(1.0 + counts))).astype(np.uint8)
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, cid, n) of all documents, and each task's blocks of shingle counters."""
+    """Rows (doc_id, cid, n, hist) of all documents, and each task's blocks of shingle counters."""
+    names = ["doc_id", "cid", "n", "hist", "block", "counts"]
 
     def run(batches):
         hashes, counts, seen = WordHashes(), np.zeros(1 << COUNTER_BITS, np.uint32), set()
         shift = np.uint64(64 - COUNTER_BITS)
         for batch in batches:
-            cids, sizes = [], []
+            cids, sizes, hists, fresh = [], [], [], []
             for text in texts_of(batch.column(1)):
                 words = text.lower().split() if text else []
                 found = shingle_hashes(words, hashes, k)
                 cid = content_id(words) if words else None
                 cids.append(cid)
                 sizes.append(len(found))
+                hists.append(histogram(found) if words else None)
                 if words and cid not in seen:
                     if len(seen) < _SEEN:
                         seen.add(cid)
-                    np.add.at(counts, (found >> shift).astype(np.int64), 1)
-            none = pa.nulls(len(cids), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), none, pa.nulls(len(cids), pa.binary())], names=["doc_id", "cid", "n", "block", "counts"])
+                    fresh.append((found >> shift).astype(np.int64))
+            if fresh:
+                counts += np.bincount(np.concatenate(fresh), minlength=len(counts)).astype(np.uint32)
+            none = [pa.nulls(len(cids), pa.int32()), pa.nulls(len(cids), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hists, pa.binary()), *none], names=names)
         used, packed = pack_blocks(counts)
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "cid", "n", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cid long, n long, block int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cid long, n long, hist binary, block int, counts binary")
 
 
 def _distinct_sets(docs: DataFrame, k: int, wanted=None):
@@ -101,7 +114,7 @@ def _distinct_sets(docs: DataFrame, k: int, wanted=None):
 
 
 def _prefixes(docs: DataFrame, levels, k: int, percent: int) -> DataFrame:
-    """(h, cid, n, pos): the rarest n - ceil(t n) + 1 shingles of each content, rarest first."""
+    """(h, cid, place): the rarest n - ceil(t n) + 1 shingles of each content, rarest first; place is position * 2**32 + n."""
     each = _distinct_sets(docs, k)
 
     def run(batches):
@@ -111,10 +124,9 @@ def _prefixes(docs: DataFrame, levels, k: int, percent: int) -> DataFrame:
 
         def flush():
             cid = np.concatenate([np.full(len(h), c, np.int64) for c, h, _ in held])
-            n = np.concatenate([np.full(len(h), n, np.int32) for _, h, n in held])
-            pos = np.concatenate([np.arange(len(h), dtype=np.int32) for _, h, _ in held])
+            both = np.concatenate([(np.arange(len(h), dtype=np.int64) << 32) + n for _, h, n in held])
             h = np.concatenate([h for _, h, _ in held]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(cid), pa.array(n), pa.array(pos)], names=["h", "cid", "n", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(cid), pa.array(both)], names=["h", "cid", "place"])
 
         for cid, found in each(batches):
             n = len(found)
@@ -129,11 +141,11 @@ def _prefixes(docs: DataFrame, levels, k: int, percent: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, cid long, n int, pos int")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, cid long, place long")
 
 
 def _sets(docs: DataFrame, wanted_bits, k: int) -> DataFrame:
-    """(cid, n, hist, items) of the wanted contents. hist: shingles per hash range, about one range for every four."""
+    """(cid, items): sorted shingles of the wanted contents (with the bitmap's few false positives); a content may come from several tasks."""
 
     def wanted(cid: int) -> bool:
         return bool(wanted_bits.value[(cid & 0xFFFFFFFFFFFFFFFF) >> (64 - WANTED_BITS)])
@@ -141,25 +153,22 @@ def _sets(docs: DataFrame, wanted_bits, k: int) -> DataFrame:
     each = _distinct_sets(docs, k, wanted)
 
     def run(batches):
-        cols, size = [[], [], [], []], 0
+        cols, size = [[], []], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["cid", "n", "hist", "items"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["cid", "items"])
 
         for cid, found in each(batches):
-            ranges = max(1, len(found) // 4).bit_length() - 1
-            hist = np.bincount((found >> np.uint64(63 - ranges) >> np.uint64(1)).astype(np.int64), minlength=1 << ranges)
-            for c, v in zip(cols, (cid, len(found), np.minimum(hist, 65535).astype("<u2").tobytes(), found.tobytes())):
-                c.append(v)
+            cols[0].append(cid)
+            cols[1].append(found.tobytes())
             size += found.nbytes
             if size > 8_000_000:
                 yield flush()
-                cols, size = [[], [], [], []], 0
+                cols, size = [[], []], 0
         if cols[0]:
             yield flush()
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "cid long, n int, hist binary, items binary")
-    return rows.groupBy("cid").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("items").alias("items"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "cid long, items binary")
 
 
 def _enough(inter, nx, ny, percent: int):
@@ -169,26 +178,31 @@ def _enough(inter, nx, ny, percent: int):
 
 def histogram_bound(x: bytes, y: bytes, nx: int, ny: int) -> int:
     """Upper bound of the overlap of two sets from their histograms: (nx + ny - sum of differences) / 2."""
-    a, b = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
-    if 65535 in (a.max(), b.max()):
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if 255 in (a.max(), b.max()):
         return min(nx, ny)
     small = min(len(a), len(b))
     return (nx + ny - int(np.abs(a.reshape(small, -1).sum(1) - b.reshape(small, -1).sum(1)).sum())) // 2
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _near(pairs: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose histograms allow a link: the suffix filter."""
 
-    def side(columns: list[str], end: str) -> DataFrame:
-        return sets.select(F.col("cid").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-
-    def by_histogram(batches):
+    def run(batches):
         for batch in batches:
-            a, b, nx, ny, x, y = (c.to_pylist() for c in batch.columns)
+            nx, ny, x, y = (c.to_pylist() for c in batch.columns[2:])
             good = [bool(_enough(histogram_bound(p, q, m, n), m, n, percent)) for m, n, p, q in zip(nx, ny, x, y)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def in_full(batches):
+    side = lambda end: hists.select(F.col("cid").alias(end), F.col("n").alias(f"n_{end}"), F.col("hist").alias(f"hist_{end}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b").mapInArrow(run, "a long, b long")
+
+
+def _linked(near: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of ``near`` (a written table) that link, as a written table. Only the texts that stand in a pair are shingled again and shipped."""
+    spark = docs.sparkSession
+
+    def run(batches):
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
@@ -196,15 +210,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(bool(_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    near = pairs.join(side(["n", "hist"], "a"), "a").join(side(["n", "hist"], "b"), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b").mapInArrow(by_histogram, "a long, b long")
-    return near.join(side(["items"], "a"), "a").join(side(["items"], "b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(in_full, "a long, b long")
+    ids = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    wanted = spark.sparkContext.broadcast(bitmap(ids, WANTED_BITS))
+    found = materialize(_sets(docs, wanted, k), "sets")
+    sets = found.groupBy("cid").agg(F.first("items").alias("items"))
+    side = lambda end: sets.select(F.col("cid").alias(end), F.col("items").alias(f"items_{end}"))
+    edges = materialize(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long"), "edges")
+    discard(found)
+    free_shuffles(spark)
+    return edges
+
 
+def _alike(n1, n2, percent: int):
+    """The length filter."""
+    return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
 
-def _may_link(n1, pos1, n2, pos2, percent: int):
-    """Length filter, and the positional filter for a shingle common to both at these positions."""
-    small, large = F.least(n1, n2), F.greatest(n1, n2)
-    most = F.least(n1 - pos1, n2 - pos2)
-    return (100 * small >= percent * large) & ((100 + percent) * most.cast("long") >= percent * (n1 + n2).cast("long"))
+
+def _early(n1, pos1, n2, pos2, percent: int):
+    """The positional filter: whether enough shingles are left if this is the first one in common."""
+    return (100 + percent) * F.least(n1 - pos1, n2 - pos2) >= percent * (n1 + n2)
 
 
 def free_shuffles(spark) -> None:
@@ -218,20 +242,31 @@ def jaccard_links(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[
     spark = docs.sparkSession
     described = materialize(_describe(docs, k), "described")
     levels = spark.sparkContext.broadcast(_frequency_levels(sum_blocks(described.where("block is not null").select("block", "counts"), COUNTER_BITS, "uint32")))
-    by_shingle = Window.partitionBy("h").orderBy("n", "cid", "pos")
+    members = described.where("block is null").select("doc_id", "cid", F.col("n").alias("n_shingles"))
+    hists = described.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("hist").alias("hist"))
+    by_shingle = Window.partitionBy("h").orderBy("place", "cid")
     rows = _prefixes(docs, levels, k, percent)
-    for name, step in (("prev", F.lag), ("next", F.lead)):
-        rows = rows.withColumn(name, step(F.struct("cid", "n", "pos")).over(by_shingle))
-    rows = materialize(rows.where("prev.cid <> cid or next.cid <> cid"), "shared")
+    for name, c in (("hub", F.first(F.struct("cid", "place"))), ("prev", F.lag(F.struct("cid", "place"))), ("next", F.lead("cid"))):
+        rows = rows.withColumn(name, c.over(by_shingle))
+    rows = materialize(rows.where("prev.cid <> cid or next <> cid").drop("next"), "shared")
     free_shuffles(spark)
 
-    near = lambda side: (F.col(f"{side}.cid") != F.col("cid")) & (100 * F.least("n", f"{side}.n") >= percent * F.greatest("n", f"{side}.n"))
-    wanted = spark.sparkContext.broadcast(bitmap(rows.where(near("prev") | near("next")).select("cid").distinct(), WANTED_BITS))
-    sets = materialize(_sets(docs, wanted, k), "sets")
-    prev = lambda c: F.col(f"prev.{c}")
-    first = rows.where((prev("cid") != F.col("cid")) & _may_link(F.col("n"), F.col("pos"), prev("n"), prev("pos"), percent))
-    first = materialize(first.select(F.least("cid", "prev.cid").alias("a"), F.greatest("cid", "prev.cid").alias("b")).distinct(), "pairs")
-    edges = materialize(_verify(first, sets, percent), "edges")
+    # Checked first: the shingle's hub - the member that has it earliest, so the one with the fewest
+    # shingles of its own - and the neighbour in that order, if the shingle stands early enough or
+    # the two meet several times; and everyone's most frequent meeting.
+    size, pos = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftright(F.col(c), 32)
+    rows = rows.withColumn("n", size("place")).withColumn("pos", pos("place"))
+    meets = [F.struct(F.col(f"{w}.cid").alias("other"), size(f"{w}.place").alias("n2"), pos(f"{w}.place").alias("pos2")) for w in ("hub", "prev")]
+    beside = rows.select("cid", "n", "pos", F.explode(F.array_distinct(F.array(*meets))).alias("m")).select("cid", "n", "pos", "m.*").where((F.col("other") != F.col("cid")) & _alike(F.col("n"), F.col("n2"), percent))
+    beside = beside.groupBy(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.max(_early(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent)).alias("early"))
+    beside = materialize(beside, "beside")
+    ends = beside.select(F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("other"), "times"), F.struct(F.col("b").alias("one"), F.col("a").alias("other"), "times"))).alias("e")).select("e.*")
+    best = ends.groupBy("one").agg(F.max(F.struct("times", F.xxhash64("one", "other"), "other")).alias("m"))
+    best = best.select(F.least("one", "m.other").alias("a"), F.greatest("one", "m.other").alias("b"))
+    first = beside.where((F.col("times") >= OFTEN) | F.col("early")).select("a", "b").unionByName(best).distinct()
+    first = materialize(_near(first, hists, percent), "near")
+    discard(beside)
+    edges = _linked(first, docs, k, percent)
     parts = materialize(connected_components(edges), "parts")
 
     labelled = rows.select("h", "cid", "n", "pos").join(parts.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -240,13 +275,16 @@ def jaccard_links(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[
     split = materialize(split, "split")
     x, y = split.alias("x"), split.alias("y")
     across = (F.col("x.h") == F.col("y.h")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.component") != F.col("y.component"))
-    more = x.join(y, across & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    more = materialize(_verify(more.join(first, ["a", "b"], "left_anti"), sets, percent), "edges")
-    stars = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    final = materialize(connected_components(stars.unionByName(more)), "parts") if not more.isEmpty() else parts
-    discard(rows, sets, first, edges, split, more, *([parts] if final is not parts else []))
+    possible = _alike(F.col("x.n"), F.col("y.n"), percent) & _early(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
+    more = x.join(y, across & possible).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    more = materialize(_near(more.join(first, ["a", "b"], "left_anti"), hists, percent), "near")
+    discard(split, edges)
     free_shuffles(spark)
-    return described.where("block is null").select("doc_id", "cid", F.col("n").alias("n_shingles")), final
+    if more.isEmpty():
+        return members, parts
+    stars = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    final = materialize(connected_components(stars.unionByName(_linked(more, docs, k, percent))), "parts")
+    return members, final
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
