@@ -168,7 +168,7 @@ def _exchange(donor: list[int], bins: list[list[int]], fill: list[int], d: int,
     """One improving move, one-for-one or two-for-one exchange out of bin d; False if there is none."""
     free = [(capacity - f, r) for r, f in enumerate(fill) if r != d and bins[r] and f < capacity]
     for i in sorted(donor, key=lambda i: -lengths[i]):
-        fits = [x for x in free if x[0] >= lengths[i]]
+        fits = [(room, r) for room, r in free if room >= lengths[i] and fill[r] + lengths[i] > fill[d]]
         if fits:
             r = min(fits)[1]
             donor.remove(i)
@@ -199,16 +199,18 @@ def _exchange(donor: list[int], bins: list[list[int]], fill: list[int], d: int,
     return True
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, max_steps: int = 2000) -> list[list[int]]:
-    """Empty the least filled bins by exchanges that each increase the sum of squared fills."""
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, max_steps: int = 1000, donors: int = 64) -> list[list[int]]:
+    """Empty bins by moves and exchanges that each increase the sum of squared fills.
+
+    The least filled bin gives first; when it has nothing to give, the next ones (up to
+    ``donors``) make room. Stops at the fewest bins possible, or when nothing improves.
+    """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
-    fewest, steps = -(-sum(fill) // capacity), 0
-    while sum(map(bool, bins)) > fewest and steps < max_steps:
-        d = min((f, b) for b, f in enumerate(fill) if bins[b])[1]
-        while bins[d] and steps < max_steps and _exchange(bins[d], bins, fill, d, size, capacity):
-            steps += 1
-        if bins[d]:
+    fewest = -(-sum(fill) // capacity)
+    for _ in range(max_steps):
+        used = sorted((f, b) for b, f in enumerate(fill) if bins[b] and f < capacity)
+        if sum(map(bool, bins)) <= fewest or not any(_exchange(bins[b], bins, fill, b, size, capacity) for _, b in used[:donors]):
             break
     return [b for b in bins if b]
 
