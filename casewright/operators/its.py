@@ -163,3 +163,9 @@ def changepoints(series: DataFrame, max_breaks: int = 5, penalty: float | None =
         return pd.DataFrame(rows, columns=["series", "date", "before_mean", "after_mean", "change_pct"])
 
     return series.select("series", "month_start", "complaints").groupBy("series").applyInPandas(run, "series string, date date, before_mean double, after_mean double, change_pct double")
+
+
+def fit_row(fits: DataFrame) -> DataFrame:
+    """Fits with display rounding."""
+    rounded = {"level_pct": 2, "trend_pct": 2, "level_p": 5, "trend_p": 5, "pre_mean": 1, "post_mean": 1, "alpha": 5}
+    return fits.select(*[F.round(c, rounded[c]).alias(c) if c in rounded else c for c in fits.columns])

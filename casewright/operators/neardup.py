@@ -6,7 +6,11 @@ node. A band's members are linked to the smallest of them - a star, never all pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.text import jaccard, normalize, redaction_ratio, shingles, token_count
@@ -19,10 +23,30 @@ def bands_for(threshold: float, perms: int) -> tuple[int, int]:
     return min(((perms // r, r) for r in range(1, perms + 1)), key=lambda br: abs((1 / br[0]) ** (1 / br[1]) - threshold))
 
 
-def signature(grams: Column, perms: int) -> Column:
-    """``perms`` minima of seeded 64-bit hashes over an array of shingle hashes."""
-    seeds = F.array(*[F.lit(i) for i in range(perms)])
-    return F.transform(seeds, lambda s: F.array_min(F.transform(grams, lambda g: F.xxhash64(s, g))))
+def bands_of(texts: DataFrame, perms: int, bands: int, rows: int) -> DataFrame:
+    """(node, band, key) of MinHash signatures over ``texts`` (node, grams: array of 64-bit shingle hashes).
+
+    Signatures are numpy over Arrow batches: ``perms`` minima per text as column expressions
+    would be interpreted lambdas. Only hashes cross to Python, never texts.
+    """
+    rng = np.random.default_rng(1)
+    factor = rng.integers(0, 1 << 63, perms, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = rng.integers(0, 1 << 63, perms, dtype=np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            grams, out = batch.column(1), []
+            for i in range(batch.num_rows):
+                g = grams[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                with np.errstate(over="ignore"):
+                    h = g[None, :] * factor[:, None] + shift[:, None]
+                    h ^= h >> np.uint64(32)
+                    low = (h * np.uint64(0x9E3779B97F4A7C15)).min(axis=1)
+                out += [int.from_bytes(hashlib.blake2b(low[k * rows : (k + 1) * rows].tobytes(), digest_size=8).digest(), "little", signed=True) for k in range(bands)]
+            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(out, pa.int64())], names=["node", "band", "key"])
+
+    return texts.select("node", "grams").mapInArrow(run, "node long, band int, key long")
 
 
 def eligible(c: DataFrame, min_tokens: int = 25, max_redaction: float = 0.5) -> DataFrame:
@@ -38,11 +62,10 @@ def near_duplicate_clusters(c: DataFrame, threshold: float = 0.8, perms: int = 6
     """
     rows = reliable_checkpoint(eligible(c, min_tokens, max_redaction).select("complaint_id", "norm", F.sha1("norm").alias("hash")))
     texts = rows.groupBy("hash").agg(F.min("complaint_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("norm").alias("norm"))
-    # Hashes are materialised before signing, or the shingling would be evaluated anew for every permutation.
+    # Small texts pack into few partitions after the aggregation; shingling is the heavy part, so it is dealt out evenly.
+    texts = texts.repartition(texts.sparkSession.sparkContext.defaultParallelism, "node")
     texts = reliable_checkpoint(texts.withColumn("grams", F.transform(shingles(F.col("norm"), k), lambda g: F.xxhash64(g))).drop("norm"))
-    b, r = bands_for(threshold, perms)
-    signed = texts.select("node", signature(F.col("grams"), perms).alias("sig"))
-    banded = signed.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("sig", i * r + 1, r)).alias("key")) for i in range(b)])).alias("x")).select("node", "x.band", "x.key")
+    banded = bands_of(texts, perms, *bands_for(threshold, perms))
     hubs = banded.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= max_group))
     edges = banded.join(hubs, ["band", "key"]).where("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
     if verify:
@@ -92,3 +115,8 @@ def cohesion_bands(found: DataFrame) -> DataFrame:
     for low, label in COHESION_BANDS:
         band = F.when(F.col("cohesion_pct") >= low, label) if band is None else band.when(F.col("cohesion_pct") >= low, label)
     return found.withColumn("band", band).groupBy("band").agg(F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("complaints"))
+
+
+def cluster_row(summary: DataFrame, chars: int = 300) -> DataFrame:
+    """Flat, printable form of cluster summaries: the first 20 ids as text."""
+    return summary.select("cluster", "size", "companies", "states", "segments", "first_date", "last_date", "day_span", F.array_join(F.transform(F.slice("complaint_ids", 1, 20), lambda x: x.cast("string")), ", ").alias("ids"))

@@ -100,3 +100,12 @@ def day_of_week(f: DataFrame, segment: str) -> DataFrame:
     w = Window.partitionBy("templated")
     total = F.sum("n").over(w)
     return days.select("templated", "weekday", "n", F.round(100 * F.col("n") / total, 2).alias("pct"), F.round(100 * F.sum(F.when(F.col("weekday") >= 5, F.col("n")).otherwise(0)).over(w) / total, 2).alias("weekend_pct"))
+
+
+def top_templates(s: DataFrame, c: DataFrame, n: int = 12, chars: int = 300) -> DataFrame:
+    """The ``n`` largest groups of equal texts with the narrative and issue of their smallest id, white space collapsed."""
+    from casewright.functions.text import collapse_spaces
+
+    top = s.groupBy("hash").agg(F.count(F.lit(1)).alias("size"), F.min("complaint_id").alias("complaint_id")).orderBy(F.desc("size"), "complaint_id").limit(n)
+    found = c.join(F.broadcast(top), "complaint_id")
+    return found.select("hash", "size", "complaint_id", "issue", F.substring(collapse_spaces(F.col("narrative")), 1, chars).alias("exemplar"))
