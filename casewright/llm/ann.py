@@ -13,7 +13,8 @@ The index holds every row, nothing is fitted. Recall against brute force is meas
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no
 part, as rows or queries; vectors of another length than the query are no candidates;
-ties go to the smaller vec_id; repeated rows are separate candidates and a repeated query
+ties go to the smaller vec_id; a query whose buckets hold fewer than k rows is compared with all
+rows, so it gets k or all there are; repeated rows are separate candidates and a repeated query
 is answered once; rows without id are not indexed; an empty table gives no rows.
 """
 
@@ -90,7 +91,8 @@ def _matrix(batch: pa.RecordBatch):
 def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, near: float = NEAR, cell_rows: int = CELL_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for the rows where ``is_query`` holds, never the query's own row."""
     good = materialize(doubles(vectors).where(takes_part() & F.col("vec_id").isNotNull()), "vectors")
-    cells = max(1, math.ceil(good.count() / cell_rows))
+    total = good.count()
+    cells = max(1, math.ceil(total / cell_rows))
 
     def index(batches):
         for batch in batches:
@@ -115,6 +117,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, hash
                                 c.append(v)
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["t", "cell", "query_id", "raw", "codes"])
 
+    def whole(batches):
+        for batch in batches:
+            for rows, raw in _matrix(batch):
+                ids = batch.column("vec_id").take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in raw], pa.binary()), pa.nulls(len(rows), pa.binary())], names=["query_id", "raw", "codes"])
+
     rows = materialize(good.mapInArrow(index, "t int, cell int, code long, vec_id long, raw binary"), "index")
     splits = rows.groupBy("t", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * cell_rows)).cast("int").alias("splits"))
     rows = rows.join(splits, ["t", "cell"]).withColumn("split", F.pmod(F.xxhash64("vec_id"), F.col("splits")).cast("int")).drop("splits")
@@ -138,7 +146,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, hash
         for query, raw, codes in zip(right["query_id"].to_pylist(), right["raw"].to_pylist(), right["codes"].to_pylist()):
             if len(raw) not in units:
                 continue
-            wanted = np.frombuffer(codes, np.int64)
+            wanted = np.frombuffer(codes, np.int64) if codes is not None else np.unique(code)
             first, last = np.searchsorted(code, wanted, "left"), np.searchsorted(code, wanted, "right")
             candidates = np.concatenate([np.arange(a, b) for a, b in zip(first.tolist(), last.tolist()) if b > a] or [np.empty(0, np.int64)])
             candidates = candidates[(lengths[candidates] == len(raw)) & (ids[candidates] != query)]
@@ -157,10 +165,23 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, hash
         return pa.table([pa.array(np.concatenate(c)) for c in found], schema=none)
 
     keys = ("t", "cell", "split")
-    tops = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    merged = tops.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return merged.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best_of(asked: DataFrame, rows: DataFrame) -> DataFrame:
+        tops = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(rerank, "query_id long, vec_id long, score double")
+        merged = tops.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return merged.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = materialize(best_of(asked, rows), "nearest")
+    enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, total - 1)).select(F.col("query_id").alias("vec_id"))
+    short = good.where(is_query).dropDuplicates(["vec_id"]).join(enough, "vec_id", "left_anti")
+    if short.isEmpty():
+        return found
+    # Whoever found too few is compared with all rows, cell by cell, each row from its first table alone.
+    to = materialize(splits.where("t = 0").select("t", "cell", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split")), "cells")
+    everywhere = short.mapInArrow(whole, "query_id long, raw binary, codes binary").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).join(to, "cell")
+    exact = best_of(everywhere.select("t", "cell", "query_id", "raw", "codes", "split"), rows.where("t = 0"))
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(*exact.columns).unionByName(exact)
 
 
 def op6_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

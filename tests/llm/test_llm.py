@@ -264,6 +264,13 @@ def test_nearest_recall_and_hard_cases(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_few_vectors_are_all_found(spark):
+    df = spark.createDataFrame([(i, [float(a), float(b), 1.0]) for i, (a, b) in enumerate([(9, 0), (-9, 1), (0, 9), (1, -9)])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r)[:3] for r in ann.nearest(df, F.col("vec_id") < 2, hashes=6, probes=1).collect())
+    assert [(q, rank) for q, rank, _ in got] == [(0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (1, 3)]
+    assert {v for q, _, v in got if q == 0} == {1, 2, 3}
+
+
 def n_queries(rows):
     return len({r[0] for r in rows if r[0] % 20 == 0 and unit_of(r[1]) is not None})
 
