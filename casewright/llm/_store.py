@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+_written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,18 +33,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._casewright_path = path
+    _written.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that no later plan reads."""
     for t in tables:
-        path = getattr(t, "_casewright_path", None)
-        if path:
-            jvm, jsc = t.sparkSession._jvm, t.sparkSession.sparkContext._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(t, "_casewright_path", None):
+            _delete(t.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this process still keeps; for use once the results that read them are written."""
+    for path in list(_written):
+        _delete(spark, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores; an input with more stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
