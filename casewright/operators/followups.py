@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright import dims
+from casewright.operators.geo import pearson
 from casewright.operators.joins import first_k
 
 
@@ -32,7 +33,7 @@ def geo_split_stats(split: DataFrame) -> DataFrame:
     """Spread of both rates over states: largest over smallest, coefficient of variation (population deviation), correlation."""
     stats = [(F.max(f"{c}_per_100k") / F.greatest(F.min(f"{c}_per_100k"), F.lit(1e-9))).alias(f"{c}_max_min") for c in ("templated", "organic")]
     stats += [F.try_divide(F.stddev_pop(f"{c}_per_100k"), F.avg(f"{c}_per_100k")).alias(f"{c}_cv") for c in ("templated", "organic")]
-    return split.agg(F.count(F.lit(1)).alias("states"), *stats, F.corr("templated_per_100k", "organic_per_100k").alias("r"))
+    return split.agg(F.count(F.lit(1)).alias("states"), *stats, pearson("templated_per_100k", "organic_per_100k").alias("r"))
 
 
 def relief_mix(flagged: DataFrame, year: int) -> DataFrame:

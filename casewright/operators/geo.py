@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright import dims
@@ -64,6 +64,11 @@ def rate_vs_templating(c: DataFrame, flagged: DataFrame, population: DataFrame,
     return out.select("state", "complaints", F.round(F.col("complaints") / F.col("population") * 100000, 1).alias("rate_per_100k"), "narratives", F.round(100 * F.col("templated") / F.col("narratives"), 1).alias("templated_pct"))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson's r; null where either side does not vary (``corr`` would divide by zero)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson's r, null for two rows or fewer."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r")).select("n", F.when(F.col("n") > 2, F.col("r")).alias("r"))
+    return df.agg(F.count(F.lit(1)).alias("n"), pearson(x, y).alias("r")).select("n", F.when(F.col("n") > 2, F.col("r")).alias("r"))

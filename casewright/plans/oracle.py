@@ -124,11 +124,11 @@ ORACLE = {
     ),
     "zip_concentration": q(C + f", zs as (select state, substr(zip_code, 1, 3) as zip3, count(*) as n from c where state not in {OUT} group by all), zt as (select *, sum(n) over (partition by state) as t from zs)", "select state, cast(sum(n) as bigint) as complaints, count(*) as zip3_count, round(sum(n * n) / (sum(n) * sum(n)), 4) as hhi, min_by(zip3, struct_pack(a := -n, b := zip3)) as top_zip3, round(max(n) / sum(n), 4) as top_share from zt group by 1 having sum(n) >= 50"),
     "rate_vs_templating": q(RVT, "select * from rvt"),
-    "rate_templating_corr": q(RVT, "select count(*) as n, case when count(*) > 2 then round(corr(rate_per_100k, templated_pct), 6) end as r from rvt"),
+    "rate_templating_corr": q(RVT, "select count(*) as n, case when count(*) > 2 then round(covar_pop(rate_per_100k, templated_pct) / nullif(stddev_pop(rate_per_100k) * stddev_pop(templated_pct), 0), 6) end as r from rvt"),
     "issue_topk": q(C, "select cast(y as integer) as grp, issue, n from (select year(date_received) as y, issue, count(*) as n from c group by all) qualify row_number() over (partition by y order by n desc, issue) <= 3"),
     "channel_by_year": q(C, "select cast(year(date_received) as integer) as year, submitted_via, count(*) as n from c group by all"),
     "geo_split": q(SPLIT, f"select state, templated, organic, {rr('templated_per_100k', 'organic_per_100k')} from split"),
-    "geo_split_stats": q(SPLIT, "select count(*) as states, " + ", ".join(f"round(max({c}_per_100k) / greatest(min({c}_per_100k), 1e-9), 5) as {c}_max_min, round(stddev_pop({c}_per_100k) / nullif(avg({c}_per_100k), 0), 5) as {c}_cv" for c in ("templated", "organic")) + ", round(corr(templated_per_100k, organic_per_100k), 5) as r from split"),
+    "geo_split_stats": q(SPLIT, "select count(*) as states, " + ", ".join(f"round(max({c}_per_100k) / greatest(min({c}_per_100k), 1e-9), 5) as {c}_max_min, round(stddev_pop({c}_per_100k) / nullif(avg({c}_per_100k), 0), 5) as {c}_cv" for c in ("templated", "organic")) + ", round(covar_pop(templated_per_100k, organic_per_100k) / nullif(stddev_pop(templated_per_100k) * stddev_pop(organic_per_100k), 0), 5) as r from split"),
     "relief_mix": q(CLOSED, f"select segment, templated, count(*) as n, {RELIEF_PCT} from cl group by all"),
     "relief_breakdown": q(CLOSED, "select segment, templated, company_response, count(*) as n from cl group by all"),
     "relief_factor": q(CLOSED + f", rm as (select segment, templated, {RELIEF_PCT} from cl group by all)", "select a.segment, a.relief_pct as templated_pct, b.relief_pct as organic_pct, round(b.relief_pct / greatest(a.relief_pct, 0.01), 6) as factor from rm a join rm b on a.segment = b.segment and a.templated = 1 and b.templated = 0"),
