@@ -13,7 +13,7 @@ import xxhash
 #: Fixed odd multipliers of the shingle hash and its finaliser (64-bit mixing constants).
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 
 
 class WordHashes(dict):
@@ -28,11 +28,21 @@ class WordHashes(dict):
         return h
 
 
-def texts_of(column: pa.Array) -> list:
-    """The column's texts as bytes, None where null."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
+#: Rows of an Arrow batch turned into Python objects at a time; batches of long texts would fill a worker otherwise.
+_SLICE = 256
+
+
+def strings_of(column: pa.Array):
+    """The column's texts one by one, None where null."""
+    for at in range(0, len(column), _SLICE):
+        yield from column.slice(at, _SLICE).to_pylist()
+
+
+def texts_of(column: pa.Array):
+    """The column's texts one by one as UTF-8 bytes, None where null."""
+    kind = pa.binary() if pa.types.is_string(column.type) else pa.large_binary()
+    for at in range(0, len(column), _SLICE):
+        yield from column.slice(at, _SLICE).cast(kind).to_pylist()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm._linear import Adam, Sparse, sigmoid
 from casewright.llm._store import table
-from casewright.llm._words import mix
+from casewright.llm._words import mix, strings_of
 
 SAMPLE_DOCS = 6000
 BITS = 14
@@ -42,7 +42,7 @@ LIMITS = (
     ("top_word", 0.3, 0.2),
 )
 LABELLERS = (*(name for name, _, _ in LIMITS), "unremarkable")
-_CACHE = 400_000
+_CACHE = 150_000
 _DIGITS = str.maketrans("12345678", "99999999")
 _SYMBOLS = frozenset("#$%&*|!~^<>{}[]\\=+@_")
 _NOT_LETTER = re.compile(r"[\W\d_]")
@@ -174,7 +174,7 @@ def count_patterns(docs: DataFrame) -> dict[int, int]:
     def run(batches):
         info, total = _Info(), np.zeros(3 ** len(LABELLERS), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in strings_of(batch.column(0)):
                 if (found := describe(text, info)) is not None:
                     total[pattern(votes(found[0]))] += 1
         used = np.flatnonzero(total)
@@ -188,7 +188,7 @@ def _sample(docs: DataFrame, size: int) -> list[tuple[int, np.ndarray, np.ndarra
     def run(batches):
         info = _Info()
         for batch in batches:
-            found = [x for t in batch.column(0).to_pylist() if (x := describe(t, info)) is not None]
+            found = [x for t in strings_of(batch.column(0)) if (x := describe(t, info)) is not None]
             rows = [hashed_row(*x) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([pattern(votes(x[0])) for x in found], pa.int64()), pa.array([c.astype(np.int64).tobytes() for c, _ in rows], pa.binary()), pa.array([v.astype(np.float64).tobytes() for _, v in rows], pa.binary())],
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, dict[int, float]]) -> DataFr
         w, posterior = shared.value
         for batch in batches:
             post, good = [], []
-            for text in batch.column(at).to_pylist():
+            for text in strings_of(batch.column(at)):
                 found = describe(text, info)
                 if found is None:
                     post.append(None)

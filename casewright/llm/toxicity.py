@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm._linear import Adam, Sparse, sigmoid
 from casewright.llm._store import table
+from casewright.llm._words import strings_of
 
 POSITIVE_DOCS = 1500
 UNLABELLED_DOCS = 3000
@@ -38,7 +39,7 @@ ROUNDS = 300
 MIN_DOCS, MIN_SHARE = 4, 0.01
 FOLDS = 5
 _PREFIXES = range(4, 10)
-_CACHE = 400_000
+_CACHE = 150_000
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -52,24 +53,58 @@ def word_features(word: bytes) -> list[str]:
     return ["w" + w, *["p" + w[:k] for k in _PREFIXES if k < len(w)]]
 
 
-def features(words: set[bytes]) -> set[str]:
-    seen = Counter(f for w in words for f in word_features(w))
-    return set(seen) | {"d" + f[1:] for f, n in seen.items() if n > 1}
+def count_features(docs: list[tuple[bytes, ...]], least: float) -> Counter:
+    """Features and the documents they stand in, if at least ``least``; one kind is counted at a time, so the rare ones never pile up."""
+    words = Counter(w for doc in docs for w in doc)
+    out = Counter({"w" + w.decode("utf-8", "replace"): n for w, n in words.items() if n >= least})
+    shown = {w: w.decode("utf-8", "replace") for w in words}
+    for k in _PREFIXES:
+        single, double = Counter(), Counter()
+        for doc in docs:
+            seen = Counter(w[:k] for x in doc if len(w := shown[x]) > k)
+            single.update(seen.keys())
+            double.update(p for p, n in seen.items() if n > 1)
+        out.update({"p" + p: n for p, n in single.items() if n >= least})
+        out.update({"d" + p: n for p, n in double.items() if n >= least})
+    return out
+
+
+class _Known:
+    """Finds the features of a fixed set in a document's words; a word is looked up once while it is remembered."""
+
+    def __init__(self, features):
+        self.features = frozenset(features)
+        self.single = frozenset(f for f in self.features if f[0] != "d") | {"p" + f[1:] for f in self.features if f[0] == "d"}
+        self.of_word: dict[bytes, tuple] = {}
+
+    def __call__(self, words) -> list[str]:
+        seen: dict[str, int] = {}
+        for word in words:
+            found = self.of_word.get(word)
+            if found is None:
+                if len(self.of_word) > _CACHE:
+                    self.of_word.clear()
+                found = self.of_word[word] = tuple(f for f in word_features(word) if f in self.single)
+            for f in found:
+                seen[f] = seen.get(f, 0) + 1
+        out = [f for f in seen if f in self.features]
+        return out + [d for f, n in seen.items() if n > 1 and f[0] == "p" and (d := "d" + f[1:]) in self.features]
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame, ids: DataFrame) -> list[set[bytes]]:
+def _sample(docs: DataFrame, ids: DataFrame) -> list[tuple[bytes, ...]]:
     """The distinct words of the documents with the given (bounded) ids."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b" ".join(sorted(words_of(t))) for t in batch.column(0).to_pylist()], pa.binary())], names=["words"])
+            yield pa.RecordBatch.from_arrays([pa.array([b" ".join(sorted(words_of(t))) for t in strings_of(batch.column(0))], pa.binary())], names=["words"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    return [set(bytes(r["words"]).split()) for r in found.dropDuplicates(["doc_id"]).select("text").mapInArrow(run, "words binary").collect()]
+    kept: dict[bytes, bytes] = {}  # one object per distinct word
+    return [tuple(kept.setdefault(w, w) for w in bytes(r["words"]).split()) for r in found.dropDuplicates(["doc_id"]).select("text").mapInArrow(run, "words binary").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, positive_docs: int = POSITIVE_DOCS, unlabelled_docs: int = UNLABELLED_DOCS, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> dict:
@@ -86,22 +121,24 @@ def fit(docs: DataFrame, labels: DataFrame, positive_docs: int = POSITIVE_DOCS,
     return fit_nnpu(toxic, unlabelled, float(np.clip(prior, 0.01, 0.5)), vocabulary, rounds)
 
 
-def fit_nnpu(toxic: list[set[bytes]], unlabelled: list[set[bytes]], prior: float, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> dict:
-    toxic = [set(x) for x in sorted({tuple(sorted(words)) for words in toxic})]  # copies say nothing new
-    in_p = Counter(f for words in toxic for f in features(words))
-    common = {f for f, n in in_p.items() if n >= max(MIN_DOCS, MIN_SHARE * len(toxic))}
-    in_u = Counter()
-    u_rows = []
-    for words in unlabelled:
-        u_rows.append([f for f in features(words) if f in common])
-        in_u.update(u_rows[-1])
+def fit_nnpu(toxic, unlabelled, prior: float, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> dict:
+    """Model from documents given as their distinct words."""
+    toxic = sorted({tuple(sorted(words)) for words in toxic})  # copies say nothing new
+    in_p = count_features(toxic, max(MIN_DOCS, MIN_SHARE * len(toxic)))
+    known = _Known(in_p)
+    in_u = Counter(f for words in unlabelled for f in known(words))
     p, u = len(toxic), len(unlabelled)
     apart = lambda f: (in_p[f] / p - in_u[f] / u) / np.sqrt((in_p[f] + in_u[f] + 1) / (p + u) / min(p, u))
-    chosen = sorted(common, key=lambda f: (-abs(apart(f)), f))[:vocabulary]
+    chosen = sorted(in_p, key=lambda f: (-abs(apart(f)), f))[:vocabulary]
     at = {f: i for i, f in enumerate(chosen)}
     n = len(at)
-    rows = lambda found: Sparse([(np.array([at[f] for f in sorted(r) if f in at] + [n]), np.ones(sum(f in at for f in r) + 1)) for r in found], n + 1)
-    xp, xu = rows([features(words) for words in toxic]), rows(u_rows)
+    known = _Known(at)
+
+    def matrix(docs) -> Sparse:
+        cols = [np.array(sorted(at[f] for f in known(words)) + [n], np.int64) for words in docs]
+        return Sparse([(c, np.ones(len(c))) for c in cols], n + 1)
+
+    xp, xu = matrix(toxic), matrix(unlabelled)
     w = np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
     adam = Adam(n + 1, 0.05)
@@ -120,31 +157,19 @@ def fit_nnpu(toxic: list[set[bytes]], unlabelled: list[set[bytes]], prior: float
 
 
 class _Scorer:
-    """Scores texts; a word's features of the model are looked up once per worker."""
+    """Scores texts by a model."""
 
     def __init__(self, model: dict):
         self.bias = model.get("bias")
-        self.single = {f: v for f, v in model.items() if f[0] in "wp" and f != "bias"}
-        self.double = {"p" + f[1:]: v for f, v in model.items() if f[0] == "d"}
-        self.known = set(self.single) | set(self.double)
-        self.of_word: dict[bytes, tuple] = {}
+        self.weight = {f: v for f, v in model.items() if f != "bias"}
+        self.known = _Known(self.weight)
 
     def __call__(self, text: str | None) -> float:
         if self.bias is None:
             return 0.0
-        seen: dict[str, int] = {}
-        of_word = self.of_word
-        for word in words_of(text):
-            found = of_word.get(word)
-            if found is None:
-                if len(of_word) > _CACHE:
-                    of_word.clear()
-                found = of_word[word] = tuple(f for f in word_features(word) if f in self.known)
-            for f in found:
-                seen[f] = seen.get(f, 0) + 1
         total = self.bias
-        for f in sorted(seen):
-            total += self.single.get(f, 0.0) + (self.double.get(f, 0.0) if seen[f] > 1 else 0.0)
+        for f in sorted(self.known(words_of(text))):
+            total += self.weight[f]
         return float(sigmoid(np.float64(total)))
 
 
@@ -157,7 +182,7 @@ def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
     def run(batches):
         scorer = _Scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scorer(t) for t in batch.column(at).to_pylist()], pa.float64())], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scorer(t) for t in strings_of(batch.column(at))], pa.float64())], names=[*names, name])
 
     return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
 
