@@ -25,7 +25,7 @@ from casewright.llm._store import materialize, table
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4096
 
 
 def word_count(text: Column) -> Column:
