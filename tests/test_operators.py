@@ -53,6 +53,22 @@ def test_gap_fill_keeps_to_own_months(spark):
     assert got == [("a", 1, 2), ("a", 2, 0), ("a", 3, 0), ("a", 4, 3), ("b", 3, 1)]
 
 
+def test_the_registered_gap_filled_series_counts_every_case(spark):
+    from casewright.plans import queries
+    from tests.conftest import SF
+
+    c = queries.complaints(spark, SF).where(F.col("month") < queries.AS_OF[:7]).select("company", "month").collect()
+    want = {}
+    for r in c:
+        want.setdefault(r.company, {}).setdefault(r.month, 0)
+        want[r.company][r.month] += 1
+    got = {}
+    for r in queries.QUERIES["gap_filled_series"](spark, SF).collect():
+        got.setdefault(r.company, {})[r.month_start.isoformat()[:7]] = r.complaints
+    assert {e: {m: n for m, n in by.items() if n} for e, by in got.items()} == want
+    assert all(min(by) == min(want[e]) and max(by) == max(want[e]) for e, by in got.items())
+
+
 def test_nearest_event_takes_the_first_of_equals(spark):
     day = spark.createDataFrame([(dt.date(2000, 1, 11),)], "d date")
     got = joins.nearest_event(day, dims.milestones(spark, (("b", "2000-01-01"), ("a", "2000-01-21"))), F.col("d")).first()
