@@ -296,6 +296,36 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
     return members.select("doc_id", "cid", "n_shingles", "part", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def jaccard_pairs(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, cid, n_shingles; every link between different contents: a, b with a < b), both written tables.
+
+    Unlike ``jaccard_links`` this verifies every candidate, those inside a component too, so its
+    work and result grow with the number of links: the square of a group of near copies.
+    """
+    described = materialize(_describe(docs, k), "described")
+    levels = docs.sparkSession.sparkContext.broadcast(_frequency_levels(sum_blocks(described.where("block is not null").select("block", "counts"), COUNTER_BITS, "uint32")))
+    members = described.where("block is null").select("doc_id", "cid", F.col("n").alias("n_shingles"))
+    hists = described.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("hist").alias("hist"))
+    rows = _prefixes(docs, levels, k, percent).distinct()  # a content may come from several tasks
+    rows = materialize(rows.select("h", "cid", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n"), F.shiftright("place", 32).alias("pos")), "prefixes")
+    x, y = rows.alias("x"), rows.alias("y")
+    possible = _alike(F.col("x.n"), F.col("y.n"), percent) & _early(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.cid") < F.col("y.cid")) & possible).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    near = materialize(_near(pairs, hists, percent), "near")
+    discard(rows)
+    return members, _linked(near, docs, k, percent)
+
+
+def jaccard_degrees(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, links of every document: the exact number of other rows it links with, copies included."""
+    members, edges = jaccard_pairs(docs, k, percent)
+    copies = materialize(members.where("cid is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(copies.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("copies").alias("others"))
+    links = copies.join(others, "cid", "left").select("cid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return members.join(links, "cid", "left").select("doc_id", "n_shingles", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row for each component: the smallest doc_id, nulls last. Texts without words all stay."""
     members = jaccard_components(docs, k, percent).where("cid is not null")

@@ -150,6 +150,15 @@ def test_identifier_tag_is_read():
 # --- 3 Jaccard join ------------------------------------------------------------------------
 
 
+def brute_degrees(rows, k=5, percent=75):
+    sets = []
+    for _, t, _ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets.append({tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= percent * len(x | y)
+    return sorted((str(d), len(x), sum(linked(x, y) for j, y in enumerate(sets) if i != j)) for i, ((d, _, _), x) in enumerate(zip(rows, sets)))
+
+
 def brute_jaccard(rows, k=5, percent=75):
     sets = []
     for _, t, _ in rows:
@@ -187,6 +196,16 @@ def test_jaccard_against_brute_force(spark, rows):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute_jaccard(rows)
 
 
+@pytest.mark.parametrize("rows", [hard_rows(), near_copies(1), near_copies(3, groups=2, size=40)])
+def test_every_jaccard_link_is_counted(spark, rows):
+    got = jaccard_join.jaccard_degrees(table(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.links) for r in got) == brute_degrees(rows)
+
+
+def test_no_jaccard_links_in_nothing(empty):
+    assert jaccard_join.jaccard_degrees(empty).count() == 0
+
+
 def test_jaccard_of_nothing_and_keepers(spark, hard, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
     kept = jaccard_join.one_of_each(hard)
