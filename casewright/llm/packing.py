@@ -164,53 +164,93 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(donor: list[int], bins: list[list[int]], fill: list[int], d: int, lengths: list[int], capacity: int) -> bool:
-    """One improving move, one-for-one or two-for-one exchange out of bin d; False if there is none."""
-    free = [(capacity - f, r) for r, f in enumerate(fill) if r != d and bins[r] and f < capacity]
-    for i in sorted(donor, key=lambda i: -lengths[i]):
-        fits = [(room, r) for room, r in free if room >= lengths[i] and fill[r] + lengths[i] > fill[d]]
-        if fits:
-            r = min(fits)[1]
-            donor.remove(i)
+def _exchange(d: int, bins: list[list[int]], where: np.ndarray, fill: np.ndarray, size: np.ndarray, capacity: int, takers: np.ndarray) -> int | None:
+    """One improving move, one-for-one or two-for-one exchange out of bin d into one of ``takers`` (a mask of bins); the taker, or None if there is none."""
+    room = np.where(takers, capacity - fill, 0)
+    open_ = np.flatnonzero(room)
+    if not len(open_):
+        return None
+    lengths, first, counts = np.unique(size[bins[d]], return_index=True, return_counts=True)  # few: their sum is at most the capacity
+    for given, at in zip(lengths[::-1].tolist(), first[::-1].tolist()):
+        fits = open_[(room[open_] >= given) & (fill[open_] + given > fill[d])]
+        if len(fits):
+            r = int(fits[np.argmin(room[fits])])
+            i = bins[d].pop(at)
             bins[r].append(i)
-            fill[d] -= lengths[i]
-            fill[r] += lengths[i]
-            return True
-    best = (0, None)
-    pairs = [(lengths[i], (i,)) for i in donor] + [(lengths[i] + lengths[j], (i, j)) for n, i in enumerate(donor) for j in donor[:n]]
-    for room, r in free:
-        if fill[r] < fill[d]:
-            continue
-        for given, out in pairs:
-            for k in bins[r]:
-                gain = given - lengths[k]
-                if best[0] < gain <= room:
-                    best = (gain, (r, out, k))
-    if not best[1]:
-        return False
-    r, out, k = best[1]
-    for i in out:
-        donor.remove(i)
+            where[i] = r
+            fill[d] -= given
+            fill[r] += given
+            return r
+    items = np.flatnonzero(((room > 0) & (fill >= fill[d]))[where])
+    if not len(items):
+        return None
+    # least[g]: the shortest item whose place and its bin's room hold g
+    holds = size[items] + room[where[items]]
+    least = np.full(capacity + 1, capacity + 1)
+    np.minimum.at(least, holds, size[items])
+    least = np.minimum.accumulate(least[::-1])[::-1]
+    x, y = np.triu_indices(len(lengths))
+    twice = (x != y) | (counts[x] > 1)
+    x, y = x[twice], y[twice]
+    given = np.concatenate([lengths, lengths[x] + lengths[y]])
+    gain = given - least[given]
+    best = int(np.argmax(gain))
+    if gain[best] <= 0:
+        return None
+    wanted = [lengths[best]] if best < len(lengths) else [lengths[x[best - len(lengths)]], lengths[y[best - len(lengths)]]]
+    k = int(items[np.flatnonzero((holds >= given[best]) & (size[items] == least[given[best]]))[0]])
+    r = int(where[k])
+    for length in wanted:
+        i = next(i for i in bins[d] if size[i] == length)
+        bins[d].remove(i)
+        bins[r].append(i)
+        where[i] = r
     bins[r].remove(k)
-    donor.append(k)
-    bins[r].extend(out)
-    fill[d] -= best[0]
-    fill[r] += best[0]
-    return True
+    bins[d].append(k)
+    where[k] = d
+    fill[d] -= gain[best]
+    fill[r] += gain[best]
+    return r
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, max_steps: int = 1000, donors: int = 64) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, again: int = 64) -> list[list[int]]:
     """Empty bins by moves and exchanges that each increase the sum of squared fills.
 
-    The least filled bin gives first; when it has nothing to give, the next ones (up to
-    ``donors``) make room. Stops at the fewest bins possible, or when nothing improves.
+    The least filled bin gives first; when it has nothing to give, the next ones make room,
+    and after each success the search begins anew. Once the first ``again`` bins have nothing
+    to give, all other underfull ones give in turn what they can before it begins anew. Stops
+    at the fewest bins possible, or when no bin has anything left to give; the rising sum ends
+    the search. A bin that had nothing to give is only tried again with the bins changed since.
     """
-    size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    fewest = -(-sum(fill) // capacity)
-    for _ in range(max_steps):
-        used = sorted((f, b) for b, f in enumerate(fill) if bins[b] and f < capacity)
-        if sum(map(bool, bins)) <= fewest or not any(_exchange(bins[b], bins, fill, b, size, capacity) for _, b in used[:donors]):
+    size, bins = np.asarray(lengths, np.int64), [list(b) for b in bins]
+    where = np.empty(len(size), np.int64)
+    for b, members in enumerate(bins):
+        where[members] = b
+    fill = np.array([size[b].sum() for b in bins], np.int64)
+    fewest = -(-int(fill.sum()) // capacity)
+    changed, checked, clock = np.zeros(len(bins), np.int64), np.full(len(bins), -1), 0
+
+    def give(d: int) -> bool:
+        nonlocal clock
+        takers = (changed > checked[d]) & (fill > 0)
+        takers[d] = False
+        r = _exchange(d, bins, where, fill, size, capacity, takers) if 0 < fill[d] < capacity else None
+        if r is None:
+            checked[d] = clock
+            return False
+        clock += 1
+        changed[[d, r]], checked[[d, r]] = clock, -1
+        return True
+
+    def give_all(d: int) -> bool:
+        given = give(d)
+        while given and give(d):
+            pass
+        return given
+
+    while np.count_nonzero(fill) > fewest:
+        order = [d for d in np.argsort(fill, kind="stable").tolist() if 0 < fill[d] < capacity]
+        if not any(map(give, order[:again])) and not any([give_all(d) for d in order[again:]]):
             break
     return [b for b in bins if b]
 

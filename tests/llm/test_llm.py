@@ -377,6 +377,21 @@ def test_local_search_empties_a_bin():
     assert all(sum(lengths[i] for i in b) <= 10 for b in found)
 
 
+def test_local_search_leaves_no_exchange_unmade():
+    capacity, lengths = 100, np.random.default_rng(1).integers(25, 50, 400)
+    bins = packing.local_search(packing.best_fit(lengths, capacity), lengths, capacity)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    fill = [int(lengths[b].sum()) for b in bins]
+    assert max(fill) <= capacity and sum(f < capacity for f in fill) > 64 and len(bins) > -(-sum(fill) // capacity)
+    for d, donor in enumerate(bins):
+        one = [int(lengths[i]) for i in donor]
+        given = one + [x + y for n, x in enumerate(one) for y in one[:n]]
+        for r, taker in enumerate(bins):
+            if r != d and fill[d] < capacity and fill[r] < capacity:
+                assert not any(x <= capacity - fill[r] and fill[r] + x > fill[d] for x in one)
+                assert fill[r] < fill[d] or not any(0 < g - lengths[k] <= capacity - fill[r] for g in given for k in taker)
+
+
 def test_best_fit_takes_the_tightest():
     assert sorted(map(sorted, packing.best_fit(np.array([6, 5, 4, 5]), 10))) == [[0, 2], [1, 3]]
 
