@@ -56,6 +56,14 @@ def release(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores appended until no column is called so, in capitals or not."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores; an input with more stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

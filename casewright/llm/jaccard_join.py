@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from casewright.llm._sketch import bitmap, pack_blocks, sum_blocks
-from casewright.llm._store import discard, materialize, table
+from casewright.llm._store import discard, materialize, table, unused
 from casewright.llm._words import WordHashes, shingle_hashes, texts_of
 from casewright.llm.graph import connected_components
 
@@ -329,23 +329,24 @@ def jaccard_degrees(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row for each component: the smallest doc_id, nulls last. Texts without words all stay."""
     members = jaccard_components(docs, k, percent).where("cid is not null")
-    same = members.groupBy("part", "doc_id", "cid").agg(F.count(F.lit(1)).alias("same"))
-    keep = same.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid", "same")).alias("kept"))
-    keep = materialize(keep.select(F.col("kept.doc_id").alias("_id"), F.col("kept.cid").alias("_cid"), F.col("kept.same").alias("_same")), "keep")
+    copies = members.groupBy("part", "doc_id", "cid").agg(F.count(F.lit(1)).alias("same"))
+    keep = copies.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid", "same")).alias("kept"))
     names, fields = docs.columns, docs.schema.fields
+    content, id_, cid, same = (unused(names, n) for n in ("_content", "_id", "_cid", "_same"))
+    keep = materialize(keep.select(F.col("kept.doc_id").alias(id_), F.col("kept.cid").alias(cid), F.col("kept.same").alias(same)), "keep")
     at = names.index("text")
 
     def tag(batches):
         for batch in batches:
             cids = [content_id(w) if t and (w := t.lower().split()) else None for t in texts_of(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cids, pa.int64())], names=[*names, "_content"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cids, pa.int64())], names=[*names, content])
 
-    tagged = docs.mapInArrow(tag, StructType([*fields, StructField("_content", LongType())]))
-    kept = tagged.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_content") == F.col("_cid")), "left").where("_content is null or _cid is not null")
-    if keep.where("_same > 1").isEmpty():
+    tagged = docs.mapInArrow(tag, StructType([*fields, StructField(content, LongType())]))
+    kept = tagged.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(content) == F.col(cid)), "left").where(F.col(content).isNull() | F.col(cid).isNotNull())
+    if keep.where(F.col(same) > 1).isEmpty():
         return kept.select(*names)
-    once = kept.where("_same > 1").dropDuplicates(["doc_id", "_content"])
-    return kept.where("_same is null or _same = 1").unionByName(once).select(*names)
+    once = kept.where(F.col(same) > 1).dropDuplicates(["doc_id", content])
+    return kept.where(F.col(same).isNull() | (F.col(same) == 1)).unionByName(once).select(*names)
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

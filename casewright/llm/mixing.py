@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm._store import materialize, table
+from casewright.llm._store import materialize, table, unused
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -100,10 +100,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each row as often as the mix takes it. Rows are told apart by id and text; repeated ones share the larger count."""
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
     names = docs.columns
-    keyed = docs.withColumn("_digest", digest)
-    taken = mix(keyed, keep=["_digest"], **how).groupBy(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of")).agg(F.max("copies").alias("_copies"))
-    both = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))).where("_copies > 0")
-    return both.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    own, id_, of, copies, again = (unused(names, n) for n in ("_digest", "_id", "_of", "_copies", "_again"))
+    keyed = docs.withColumn(own, digest)
+    taken = mix(keyed, keep=[own], **how).groupBy(F.col("doc_id").alias(id_), F.col(own).alias(of)).agg(F.max("copies").alias(copies))
+    both = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(of))).where(F.col(copies) > 0)
+    return both.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*names)
 
 
 def op1_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm._linear import Adam, Sparse, sigmoid
-from casewright.llm._store import table
+from casewright.llm._store import table, unused
 from casewright.llm._words import mix, strings_of
 
 SAMPLE_DOCS = 6000
@@ -219,8 +219,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -
     return w, posterior
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, dict[int, float]]) -> DataFrame:
-    """``docs`` with posterior (of the votes; null without words) and quality (the scorer's) appended."""
+def score(docs: DataFrame, model: tuple[np.ndarray, dict[int, float]], added: tuple[str, str] = ("posterior", "quality")) -> DataFrame:
+    """``docs`` with posterior (of the votes; null without words) and quality (the scorer's) appended, under the names in ``added``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index("text")
@@ -239,18 +239,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, dict[int, float]]) -> DataFr
                 cols, vals = hashed_row(*found)
                 post.append(posterior.get(pattern(votes(found[0]))))
                 good.append(float(sigmoid(np.float64(w[cols] @ vals))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(post, pa.float64()), pa.array(good, pa.float64())], names=[*names, "posterior", "quality"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(post, pa.float64()), pa.array(good, pa.float64())], names=[*names, *added])
 
-    return docs.mapInArrow(run, docs.withColumn("posterior", F.lit(None).cast("double")).withColumn("quality", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn(added[0], F.lit(None).cast("double")).withColumn(added[1], F.lit(0.0)).schema)
 
 
 def good_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without those the scorer rejects."""
     names = docs.columns
-    tagged = score(docs.select("*"), fit(docs)) if not {"posterior", "quality"} & set(names) else None
-    if tagged is None:
-        raise ValueError("documents already have a column named posterior or quality")
-    return tagged.where(F.col("quality") >= threshold).select(*names)
+    added = unused(names, "posterior"), unused(names, "quality")
+    return score(docs, fit(docs), added).where(F.col(added[1]) >= threshold).select(*names)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

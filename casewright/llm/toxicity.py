@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm._linear import Adam, Sparse, sigmoid
-from casewright.llm._store import table
+from casewright.llm._store import table, unused
 from casewright.llm._words import strings_of
 
 POSITIVE_DOCS = 1500
@@ -189,7 +189,8 @@ def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
 
 def non_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without those scored at ``threshold`` or more."""
-    return score(docs, fit(docs, labels), "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = unused(docs.columns, "_toxicity")
+    return score(docs, fit(docs, labels), name).where(F.col(name) < threshold).drop(name)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

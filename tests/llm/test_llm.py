@@ -487,6 +487,22 @@ def test_toxicity_hard_cases(spark, hard, empty):
     assert toxicity.non_toxic(hard, labels).columns == hard.columns
 
 
+RESERVED = ("posterior", "Quality", "_toxicity", "_digest", "_id", "_of", "_copies", "_again", "_content", "_cid", "_same")
+
+
+def test_stages_leave_columns_with_internal_names_alone(spark, hard):
+    labels = spark.createDataFrame([(i, int(i == 0)) for i in range(12)], "doc_id long, toxic int")  # few toxic ones: not everything is dropped
+    plain = hard.where("doc_id < 12")
+    docs = plain.select("*", *[F.lit(f"own {n}").alias(n) for n in RESERVED])
+    for stage in (quality.good_documents, lambda d: toxicity.non_toxic(d, labels), jaccard_join.one_of_each, mixing.mixed_documents):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows, stage
+        assert all(r[n] == f"own {n}" for r in rows for n in RESERVED)
+        assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id, r.text or "") for r in stage(plain).collect())
+
+
 # --- pipeline ------------------------------------------------------------------------------
 
 
