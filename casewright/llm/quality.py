@@ -196,7 +196,7 @@ def _sample(docs: DataFrame, size: int) -> list[tuple[int, np.ndarray, np.ndarra
             )
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(size).distinct()
+    ids = ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(size)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
     got = found.select("text").mapInArrow(run, "pattern long, cols binary, vals binary").collect()
     return [(r[0], np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.float64)) for r in got]

@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive_docs: int = POSITIVE_DOCS,
     some = lambda ids, n: ids.orderBy(order, "doc_id").limit(n)
     toxic = _sample(docs, some(train.where("toxic = 1").select("doc_id").distinct(), positive_docs))
     other = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    unlabelled = _sample(docs, some(other, unlabelled_docs).distinct())
+    unlabelled = _sample(docs, some(other.distinct(), unlabelled_docs))
     if not toxic or not unlabelled:
         return {}
     return fit_nnpu(toxic, unlabelled, float(np.clip(prior, 0.01, 0.5)), vocabulary, rounds)

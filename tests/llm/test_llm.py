@@ -503,6 +503,25 @@ def test_stages_leave_columns_with_internal_names_alone(spark, hard):
         assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id, r.text or "") for r in stage(plain).collect())
 
 
+def repeated(spark):
+    """Documents of which one, early in both samples' orders, is repeated in most rows."""
+    ids = spark.range(60).select(F.col("id").alias("doc_id")).where(~toxicity.held_out(F.col("doc_id")))
+    docs = ids.select("doc_id", F.concat(F.lit("plain words and "), F.col("doc_id") * 7).alias("text"))
+    first = [docs.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(1) for salt in (7, 8)]
+    for one in first:
+        docs = docs.unionByName(one.crossJoin(spark.range(200)).select("doc_id", "text"))
+    return docs
+
+
+def test_samples_hold_distinct_documents(spark, monkeypatch):
+    docs = repeated(spark)
+    assert len(quality._sample(docs, 20)) == 20
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda toxic, unlabelled, *rest: seen.append(len(unlabelled)) or {})
+    toxicity.fit(docs, docs.select("doc_id").distinct().withColumn("toxic", F.lit(1)), unlabelled_docs=20)
+    assert seen == [20]
+
+
 # --- pipeline ------------------------------------------------------------------------------
 
 
