@@ -45,6 +45,8 @@ LABELLERS = (*(name for name, _, _ in LIMITS), "unremarkable")
 _CACHE = 150_000
 _DIGITS = str.maketrans("12345678", "99999999")
 _SYMBOLS = frozenset("#$%&*|!~^<>{}[]\\=+@_")
+#: Marks the packed facts of a word over 255 characters.
+_LONG = 1 << 48
 _NOT_LETTER = re.compile(r"[\W\d_]")
 
 
@@ -53,8 +55,8 @@ def _case(run: str) -> str:
     return "x" if run.islower() else "X" if run.isupper() else "Xx" if run.istitle() else "xX"
 
 
-def _word_info(word: str) -> int:
-    """Packed facts of a word: hashed shape, length, letters, capitals, symbols (each up to 255).
+def _word_info(word: str) -> tuple[int, tuple[int, ...] | None]:
+    """Packed facts of a word: hashed shape, length, letters, capitals, symbols (each up to 255); and by how much the four exceed that, if the word is longer.
 
     The shape of a word is the case of its letters and every other character in it, digits alike.
     """
@@ -65,24 +67,34 @@ def _word_info(word: str) -> int:
         letters = len(word) - len(others)
     capitals = 0 if word.islower() else sum(map(str.isupper, word))
     symbols = sum(c in _SYMBOLS for c in others)
-    shape = (_case(word) if letters else "") + others[:32].translate(_DIGITS)
+    shape = (_case(word) if letters else "") + others.translate(_DIGITS)
     cap = lambda v: min(v, 255)
-    return (zlib.crc32(shape.encode("utf-8", "replace")) & ((1 << BITS) - 1)) | cap(len(word)) << 16 | cap(letters) << 24 | cap(capitals) << 32 | cap(symbols) << 40
+    packed = (zlib.crc32(shape.encode("utf-8", "replace")) & ((1 << BITS) - 1)) | cap(len(word)) << 16 | cap(letters) << 24 | cap(capitals) << 32 | cap(symbols) << 40
+    if len(word) <= 255:
+        return packed, None
+    return packed | _LONG, tuple(v - cap(v) for v in (len(word), letters, capitals, symbols))
 
 
 class _Info(dict):
-    """word -> its row in ``facts``; forgets all at the start of a text once it holds ``_CACHE`` words."""
+    """word -> its row in ``facts``, and in ``excess`` if it is long; forgets all at the start of a text once it holds ``_CACHE`` words."""
 
     def __init__(self):
         self.facts = np.empty(1 << 16, np.int64)
+        self.excess: dict[int, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
         if at >= len(self.facts):
             self.facts = np.concatenate([self.facts, np.empty_like(self.facts)])
-        self.facts[at] = _word_info(word)
+        self.facts[at], excess = _word_info(word)
+        if excess:
+            self.excess[at] = excess
         return at
 
+    def clear(self) -> None:
+        super().clear()
+        self.excess.clear()
+
 
 def describe(text: str | None, info: _Info) -> tuple[dict, np.ndarray] | None:
     """Statistics by labeller and the words' shape codes; None without words."""
@@ -96,7 +108,11 @@ def describe(text: str | None, info: _Info) -> tuple[dict, np.ndarray] | None:
     facts = info.facts[ids]
     used, counts = np.unique(ids, return_counts=True)
     of = info.facts[used]
-    chars, letters, capitals, symbols = ((of >> at & 255) @ counts for at in (16, 24, 32, 40))
+    totals = [int((of >> at & 255) @ counts) for at in (16, 24, 32, 40)]
+    if info.excess:
+        for i in np.flatnonzero(of & _LONG).tolist():
+            totals = [t + int(counts[i]) * more for t, more in zip(totals, info.excess[int(used[i])])]
+    chars, letters, capitals, symbols = totals
     stats = {
         "symbols": symbols / chars,
         "uppercase": capitals / letters if letters else 0.0,

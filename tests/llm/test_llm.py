@@ -503,6 +503,21 @@ def test_stages_leave_columns_with_internal_names_alone(spark, hard):
         assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id, r.text or "") for r in stage(plain).collect())
 
 
+def test_long_words_count_in_full():
+    info = quality._Info()
+    stats, _ = quality.describe("a" * 4000 + "#" * 60 + "B" * 1000, info)
+    assert stats["symbols"] == 60 / 5060 and stats["uppercase"] == 1000 / 5000
+    stats, _ = quality.describe("plain words " * 20 + "日" * 20_000 + "1" * 300 + " " + "日" * 20_000 + "1" * 300, info)
+    assert stats["not_letters"] == pytest.approx(600 / (200 + 40_600)) and stats["bare_symbols"] == 0
+    stats, _ = quality.describe("plain words " * 20 + "1" * 300, info)
+    assert stats["bare_symbols"] == 1 / 41 and stats["not_letters"] == pytest.approx(300 / 500)
+
+
+def test_the_whole_shape_of_a_word_is_hashed():
+    shape = lambda w: quality.describe(w, quality._Info())[1][0]
+    assert shape("-" * 40 + "+") != shape("-" * 40 + "=")
+
+
 def repeated(spark):
     """Documents of which one, early in both samples' orders, is repeated in most rows."""
     ids = spark.range(60).select(F.col("id").alias("doc_id")).where(~toxicity.held_out(F.col("doc_id")))
