@@ -1,14 +1,15 @@
 """WARC revisit resolution: 304 captures regain the response they stand for.
 
 A not-modified capture is joined as of its time to the latest strictly earlier full
-response of the same canonical URL. The join is a running maximum over both record kinds,
+response (a status of ``COMPLETE``) of the same canonical URL. The join is a running maximum over both record kinds,
 in two levels - time buckets of a URL, then rows within a bucket - so a URL with a third of
 all captures is spread over many tasks. Validators must agree (entity tags compared weakly,
 else modification dates); then the response's headers are taken and the permitted ones of
 the 304 replace them. Only DataFrame functions; bodies are not moved.
 
 Defined cases: records without URL or time stay unresolved (``no_key``); a 304 with no
-earlier response is ``no_response``; validators that differ, or are missing on either side,
+earlier full response is ``no_response``; header names match in any case, the first by name
+counts where one is repeated; validators that differ, or are missing on either side,
 give ``validator_mismatch``; responses of one time are ordered by record_id and later ids
 win; repeated 304 rows are resolved each; empty tables give no rows; other columns are ignored.
 """
@@ -22,6 +23,8 @@ from casewright.llm._store import table
 
 #: Fields a 304 may update in the stored response.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
+#: Statuses whose response is the whole resource: not 206, redirects or errors.
+COMPLETE = (200, 203)
 #: Query parameters that do not choose the resource.
 TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid|sessionid|phpsessid|sid)(=|$)"
 BUCKET_ROWS = 20_000
@@ -47,16 +50,17 @@ def resolve_revisits(records: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Data
 
     Returns record_id, curl, ts, resolution, response_id, response_ts, digest, headers (map).
     """
-    header = lambda name: F.element_at("headers", name)
+    fields = F.array_sort(F.map_entries("headers"))
+    header = lambda name: F.get(F.filter(fields, lambda e: F.lower(e["key"]) == name), 0)["value"]
     rows = records.select(
-        "record_id", canonical_url(F.col("url")).alias("curl"), "ts", (F.col("status") == 304).alias("revisit"), header("etag").alias("etag"), header("last-modified").alias("modified"), F.array_sort(F.map_entries("headers")).alias("fields"), "digest"
+        "record_id", canonical_url(F.col("url")).alias("curl"), "ts", (F.col("status") == 304).alias("revisit"), F.col("status").isin(*COMPLETE).alias("complete"), header("etag").alias("etag"), header("last-modified").alias("modified"), fields.alias("fields"), "digest"
     )
     keyed = rows.where("curl is not null and ts is not null")
     n, low, high = keyed.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
     width = max(1, ((high or 0) - (low or 0) + 1) // max(1, -(-n // bucket_rows)))
     keyed = keyed.withColumn("bucket", F.floor((F.col("ts") - F.lit(low or 0)) / width))
-    full = F.when(~F.col("revisit"), F.struct("ts", "record_id", "etag", "modified", "digest", "fields"))
-    ends = keyed.where("not revisit").groupBy("curl", "bucket").agg(F.max(full).alias("end"))
+    full = F.when(F.col("complete"), F.struct("ts", "record_id", "etag", "modified", "digest", "fields"))
+    ends = keyed.where("complete").groupBy("curl", "bucket").agg(F.max(full).alias("end"))
     wanted = keyed.where("revisit").select("curl", "bucket").distinct().withColumn("end", F.lit(None).cast(ends.schema["end"].dataType))
     before = Window.partitionBy("curl").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
     carried = ends.unionByName(wanted).withColumn("carried", F.max("end").over(before)).groupBy("curl", "bucket").agg(F.max("carried").alias("carried"))

@@ -459,6 +459,19 @@ def test_revisit_rules(spark, bucket_rows):
     assert warc.resolve_revisits(spark.createDataFrame([], RECORDS)).count() == 0
 
 
+@pytest.mark.parametrize("bucket_rows", [1, 1000])
+def test_revisits_by_usual_header_names_and_complete_responses(spark, bucket_rows):
+    rows = [
+        (1, "http://a.com", 10, 200, {"ETag": '"x"', "Content-Length": "5"}, "d1", "x"), (2, "http://a.com", 20, 304, {"Etag": 'W/"x"', "Date": "20"}, None, "x"),
+        (3, "http://b.com", 10, 200, {"Last-Modified": "m"}, "d3", "x"), (4, "http://b.com", 20, 304, {"last-modified": "m"}, None, "x"),
+        (5, "http://c.com", 10, 200, {"etag": '"y"'}, "d5", "x"), *[(10 + i, "http://c.com", 11 + i, status, {"etag": '"z"'}, "bad", "x") for i, status in enumerate((404, 500, 206, 301, 302, None))], (6, "http://c.com", 30, 304, {"etag": '"y"'}, None, "x"),
+        (7, "http://d.com", 10, 404, {"etag": '"y"'}, "bad", "x"), (8, "http://d.com", 30, 304, {"etag": '"y"'}, None, "x"), (9, "http://a.com", 40, 304, None, None, "x"),
+    ]
+    found = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, RECORDS), bucket_rows).collect()}
+    assert {i: (r.resolution, r.response_id) for i, r in found.items()} == {2: ("resolved", 1), 4: ("resolved", 3), 6: ("resolved", 5), 8: ("no_response", None), 9: ("validator_mismatch", None)}
+    assert found[2].headers == {"Content-Length": "5", "Etag": 'W/"x"', "Date": "20"}
+
+
 # --- 10 toxicity ---------------------------------------------------------------------------
 
 
