@@ -88,9 +88,9 @@ def bursts_(spark, args) -> None:
 def dedupe(spark, args) -> None:
     c = _data(spark, args)
     members = neardup.near_duplicate_clusters(c, args.threshold)
-    clusters = neardup.cluster_summary(members, c)
+    clusters, found = neardup.cluster_summary(members, c), neardup.cohesion(members)
     exact = templates.exact_duplicate_groups(scored(c)).orderBy(F.desc("size"), "first_id")
-    _show(args, exact_duplicate_groups=exact, top_templates=templates.top_templates(scored(c), c), near_duplicate_clusters=neardup.cluster_row(clusters.where(F.col("size") >= args.export_floor)).orderBy(F.desc("size"), "cluster"), sizes=neardup.size_bands(clusters), cohesion=neardup.cohesion_bands(neardup.cohesion(members)))
+    _show(args, exact_duplicate_groups=exact, top_templates=templates.top_templates(scored(c), c), near_duplicate_clusters=neardup.cluster_row(clusters.where(F.col("size") >= args.export_floor), found).orderBy(F.desc("size"), "cluster"), sizes=neardup.size_bands(clusters), cohesion=neardup.cohesion_bands(found))
 
 
 def geo_(spark, args) -> None:

@@ -76,13 +76,18 @@ def near_duplicate_clusters(c: DataFrame, threshold: float = 0.8, perms: int = 6
     return member.withColumn("cluster", F.coalesce("component", "node")).where("copies > 1 or component is not null").select("complaint_id", "cluster", "norm")
 
 
-def cluster_summary(members: DataFrame, c: DataFrame, ids: int = 100) -> DataFrame:
-    """Size, firms, states (blank ones not counted), segments, dates and first ids of each cluster."""
-    rows = members.select("complaint_id", "cluster").join(c.select("complaint_id", "company", "state", "segment", "date_received"), "complaint_id")
+def cluster_summary(members: DataFrame, c: DataFrame, ids: int = 100, chars: int = 600) -> DataFrame:
+    """Size, firms and states (blank ones left out; counts and sorted lists), segments, dates, mean redaction ratio, exemplar and first ids of each cluster.
+
+    The exemplar is the normalised text of the smallest id, up to ``chars`` characters.
+    """
+    facts = c.select("complaint_id", "company", "state", "segment", "date_received", redaction_ratio(F.col("narrative")).alias("ratio"))
+    rows = members.select("complaint_id", "cluster", F.when(F.col("complaint_id") == F.col("cluster"), F.substring("norm", 1, chars)).alias("shown")).join(facts, "complaint_id")
     blank = lambda col: F.when(F.col(col) != "", F.col(col))
     out = rows.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("size"), F.count_distinct(blank("company")).alias("companies"), F.count_distinct(blank("state")).alias("states"), F.array_join(F.array_sort(F.collect_set("segment")), ",").alias("segments"),
-        F.min("date_received").alias("first_date"), F.max("date_received").alias("last_date"),
+        F.count(F.lit(1)).alias("size"), F.count_distinct(blank("company")).alias("companies"), F.count_distinct(blank("state")).alias("states"),
+        F.array_sort(F.collect_set(blank("company"))).alias("company_list"), F.array_sort(F.collect_set(blank("state"))).alias("state_list"), F.array_join(F.array_sort(F.collect_set("segment")), ",").alias("segments"),
+        F.min("date_received").alias("first_date"), F.max("date_received").alias("last_date"), F.avg("ratio").alias("mean_redaction_ratio"), F.max("shown").alias("exemplar"),
     )
     listed = first_k(rows.select("cluster", "complaint_id"), ["cluster"], ["complaint_id"], ids).groupBy("cluster").agg(F.array_sort(F.collect_list("complaint_id")).alias("complaint_ids"))
     return out.withColumn("day_span", F.datediff("last_date", "first_date")).join(listed, "cluster")
@@ -117,6 +122,11 @@ def cohesion_bands(found: DataFrame) -> DataFrame:
     return found.withColumn("band", band).groupBy("band").agg(F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("complaints"))
 
 
-def cluster_row(summary: DataFrame, chars: int = 300) -> DataFrame:
-    """Flat, printable form of cluster summaries: the first 20 ids as text."""
-    return summary.select("cluster", "size", "companies", "states", "segments", "first_date", "last_date", "day_span", F.array_join(F.transform(F.slice("complaint_ids", 1, 20), lambda x: x.cast("string")), ", ").alias("ids"))
+def cluster_row(summary: DataFrame, found: DataFrame, chars: int = 300) -> DataFrame:
+    """Flat, printable form of cluster summaries with their ``cohesion`` (null where not measured): the first 4 segments, 3 firms and 20 ids as text."""
+    measured = found.select("cluster", F.round("mean_similarity", 3).alias("cohesion_mean"), F.round("cohesion_pct", 1).alias("cohesion_pct"), F.col("sampled").alias("cohesion_sampled"))
+    rows = summary.join(measured, "cluster", "left").withColumn("cohesion_sampled", F.coalesce("cohesion_sampled", F.lit(0)))
+    first = F.array_join(F.slice(F.split("segments", ","), 1, 4), ",").alias("segments")
+    return rows.select("cluster", "size", "cohesion_mean", "cohesion_pct", "cohesion_sampled", "companies", "states", first, "first_date", "last_date", "day_span", F.round("mean_redaction_ratio", 3).alias("mean_redaction_ratio"),
+        F.array_join(F.slice("company_list", 1, 3), " | ").alias("top_companies"), F.substring("exemplar", 1, chars).alias("exemplar"), F.array_join(F.transform(F.slice("complaint_ids", 1, 20), lambda x: x.cast("string")), ", ").alias("ids"),
+    )

@@ -232,7 +232,7 @@ QUERIES = {
     "ordinals": lambda s, d: s.range(32).select("id", ordinal(F.col("id")).alias("shown")),
     "shingle_stats": _shingle_stats,
     "jaccard_pairs_exact": _jaccard_pairs,
-    "neardup_clusters": lambda s, d: neardup.cluster_summary(_near(s, d), _c(s, d)).withColumn("complaint_ids", F.array_join("complaint_ids", ",")),
+    "neardup_clusters": lambda s, d: neardup.cluster_summary(_near(s, d), _c(s, d)).withColumns({n: F.array_join(n, "," if n == "complaint_ids" else "|") for n in ("complaint_ids", "company_list", "state_list")}),
     "neardup_cohesion": lambda s, d: neardup.cohesion(_near(s, d), min_size=3),
     "cohesion_bands": lambda s, d: neardup.cohesion_bands(neardup.cohesion(_near(s, d), min_size=3)),
     "its_fit": _fit,

@@ -116,6 +116,22 @@ def test_near_duplicates_join_chains_and_copies(spark):
     assert neardup.near_duplicate_clusters(c, verify=True).count() == 3
 
 
+def test_cluster_rows_are_whole(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [case(5, "2020-01-05", "XXXX " + text, "s1", "B", "TX"), case(7, "2020-02-05", text, "s2", "A", ""), case(9, "2020-01-09", text + " XX/XX", "s1", "", "NY"), case(11, "2020-01-09", text, "s1", "C", "NY"), case(12, "2020-01-09", text, "s1", "D", "NY")]
+    c = spark.createDataFrame(rows, CASE)
+    members = neardup.near_duplicate_clusters(c)
+    summary = neardup.cluster_summary(members, c)
+    got = summary.first()
+    assert (got.cluster, got.company_list, got.state_list, got.exemplar) == (5, ["A", "B", "C", "D"], ["NY", "TX"], text)
+    assert got.mean_redaction_ratio == pytest.approx((1 / 41 + 0 + 1 / 41 + 0 + 0) / 5)
+    flat = neardup.cluster_row(summary, neardup.cohesion(members, min_size=2), chars=8).first()
+    assert (flat.top_companies, flat.exemplar, flat.cohesion_mean, flat.cohesion_pct, flat.cohesion_sampled) == ("A | B | C", text[:8], 1.0, 100.0, 4)
+    assert (flat.mean_redaction_ratio, flat.segments, flat.ids) == (0.01, "s1,s2", "5, 7, 9, 11, 12")
+    bare = neardup.cluster_row(summary, neardup.cohesion(members)).first()
+    assert (bare.cohesion_mean, bare.cohesion_pct, bare.cohesion_sampled) == (None, None, 0)
+
+
 def test_refresh_equals_rebuild_and_is_idempotent(spark):
     text = " ".join(f"word{i}" for i in range(30))
     rows = [case(i, f"2020-{1 + i % 4:02d}-10", text if i % 2 else "", company=f"c{i % 3}", state="TX" if i % 2 else "") for i in range(20)]
