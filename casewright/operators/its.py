@@ -128,27 +128,31 @@ def placebo_test(real: DataFrame, placebo: DataFrame, exclude_months: int = 6) -
     return out.withColumn("verdict", F.when(F.col("placebos") == 0, "inconclusive").when(F.col("percentile") >= 95, "distinctive").when(F.col("percentile") >= 80, "suggestive").otherwise("NOT distinctive"))
 
 
-def binary_segmentation(y: np.ndarray, max_breaks: int = 5, penalty: float | None = None, jump: int = 5, min_size: int = 2) -> list[int]:
-    """Break positions by greedy halving with squared-error cost; a split must gain more than the penalty (3 population deviations)."""
+def binary_segmentation(y: np.ndarray, penalty: float | None = None, jump: int = 5, min_size: int = 2) -> list[int]:
+    """All break positions by greedy halving with squared-error cost; a split must gain more than the penalty (3 population deviations).
+
+    A split changes no other segment's gains, so halving each segment while its best split gains
+    enough finds the same breaks as taking the best split of all segments again and again.
+    """
     penalty = 3 * float(y.std()) if penalty is None else penalty
-    s, q = np.concatenate([[0], np.cumsum(y)]), np.concatenate([[0], np.cumsum(y * y)])
-    cost = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
-    cuts = [0, len(y)]
-    while len(cuts) - 2 < max_breaks:
-        best = (penalty, None)
-        for a, b in zip(cuts, cuts[1:]):
-            for k in range((a // jump + 1) * jump, b, jump):
-                if k - a >= min_size and b - k >= min_size:
-                    gain = cost(a, b) - cost(a, k) - cost(k, b)
-                    if gain > best[0]:
-                        best = (gain, k)
-        if best[1] is None:
-            break
-        cuts = sorted([*cuts, best[1]])
-    return cuts[1:-1]
-
-
-def changepoints(series: DataFrame, max_breaks: int = 5, penalty: float | None = None, log: bool = True) -> DataFrame:
+    z = y - y.mean()
+    s, q = np.concatenate([[0], np.cumsum(z)]), np.concatenate([[0], np.cumsum(z * z)])
+    breaks, todo = [], [(0, len(y))]
+    while todo:
+        a, b = todo.pop()
+        k = np.arange((a // jump + 1) * jump, b, jump)
+        k = k[(k - a >= min_size) & (b - k >= min_size)]
+        if not len(k):
+            continue
+        gain = (s[k] - s[a]) ** 2 / (k - a) + (s[b] - s[k]) ** 2 / (b - k) - (s[b] - s[a]) ** 2 / (b - a)
+        best = int(gain.argmax())
+        if gain[best] > penalty + 1e-9 * q[-1]:
+            breaks.append(int(k[best]))
+            todo += [(a, int(k[best])), (int(k[best]), b)]
+    return sorted(breaks)
+
+
+def changepoints(series: DataFrame, penalty: float | None = None, log: bool = True) -> DataFrame:
     """Breaks of each series with the mean before (since the previous break) and after (over as many months)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,7 +160,7 @@ def changepoints(series: DataFrame, max_breaks: int = 5, penalty: float | None =
         y = pdf["complaints"].to_numpy(float)
         rows, last = [], 0
         if len(y) >= MIN_MONTHS:
-            for k in binary_segmentation(np.log1p(y) if log else y, max_breaks, penalty):
+            for k in binary_segmentation(np.log1p(y) if log else y, penalty):
                 before, after = y[last:k].mean(), y[k : k + (k - last)].mean()
                 rows.append((pdf["series"].iloc[0], pdf["month_start"].iloc[k], before, after, (after / before - 1) * 100 if before else None))
                 last = k
