@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,11 +69,37 @@ def population_long(*vintages: DataFrame, abbreviations: DataFrame | None = None
     return rows.join(F.broadcast(abbreviations), "name").select("state", "year", "population")
 
 
-def find_buckets(json: Column) -> Column:
-    """(key, doc_count) entries of the first ``buckets`` list found at the top or up to three levels down."""
-    kind = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("doc_count", T.LongType())]))
-    found = [F.from_json(F.get_json_object(json, path), kind) for path in ("$.buckets", "$.*.buckets", "$.*.*.buckets", "$.*.*.*.buckets")]
-    return F.coalesce(*found)
+def buckets_in(node) -> list[dict] | None:
+    """The first list under a key ``buckets``, looking into objects in their order, at any depth."""
+    todo = [node]
+    while todo:
+        here = todo.pop()
+        if isinstance(here, dict):
+            if isinstance(here.get("buckets"), list):
+                return here["buckets"]
+            todo += reversed(here.values())
+    return None
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("doc_count", T.LongType())])))
+def _found_buckets(texts: pd.Series) -> pd.Series:
+    def entries(text):
+        try:
+            found = buckets_in(json.loads(text)) if text else None
+        except ValueError:
+            return None
+        text_of = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+        return None if found is None else [{"key": text_of(b.get("key")), "doc_count": b.get("doc_count")} for b in found if isinstance(b, dict)]
+
+    return texts.map(entries)
+
+
+def find_buckets(json_text: Column) -> Column:
+    """(key, doc_count) entries of the first ``buckets`` list of a response, at any depth; null without one.
+
+    No built-in function searches a document of unknown depth, so this is Python over Arrow batches of responses.
+    """
+    return _found_buckets(json_text)
 
 
 def bucket_counts(df: DataFrame, fields: list[str]) -> DataFrame:
