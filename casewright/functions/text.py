@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A run of X-redactions, with the separators inside it.
+#: A run of X-redactions, with the separators inside it (a fixed pattern).
 REDACTION = r"(?iU)\b[X]{2,}(?:[/\-\s][X]{2,})*\b"
 MIN_TOKENS = 25
 
 
 def normalize(text: Column) -> Column:
     """Redactions blanked, lower case, everything outside a-z and 0-9 one space, trimmed; null is empty."""
-    blanked = F.regexp_replace(F.coalesce(text, F.lit("")), REDACTION, " ")
+    text = F.coalesce(text, F.lit(""))
+    blanked = F.when(_may_redact(text), F.regexp_replace(text, REDACTION, " ")).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(blanked), "[^a-z0-9]+", " "))
 
 
+def _may_redact(text: Column) -> Column:
+    """Whether two X stand together anywhere: without them the pattern, which is slow, cannot match."""
+    return F.contains(F.lower(text), F.lit("xx"))
+
+
 def redaction_ratio(text: Column) -> Column:
     """Redaction runs over white-space separated tokens; 0 without tokens."""
     text = F.coalesce(text, F.lit(""))
     tokens = F.regexp_count(text, F.lit(r"\S+"))
-    return F.when(tokens > 0, F.regexp_count(text, F.lit(REDACTION)) / tokens).otherwise(F.lit(0.0))
+    return F.when(_may_redact(text) & (tokens > 0), F.regexp_count(text, F.lit(REDACTION)) / tokens).otherwise(F.lit(0.0))
 
 
 def token_count(normalized: Column) -> Column:

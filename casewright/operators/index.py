@@ -13,16 +13,25 @@ from pyspark.sql import functions as F
 from casewright import dims, schema
 from casewright.functions.names import with_company_group
 from casewright.functions.text import normalize, text_hash
+from casewright.storage import materialize
 
+# Fixed values of the published tables: the totals' key, the least copies of a text in the detail, the firms with text detail.
 #: Key of the rows that count all scored narratives of a state or firm.
 ALL = "ALLNARRS"
 DETAIL_MIN, COMPANY_TOP = 5, 40
 
 
 def fold(c: DataFrame, min_tokens: int = 25) -> dict[str, DataFrame]:
-    """The seven tables of ``c``. Texts are hashed once, in ``facts``; every table is one partial aggregation of it."""
-    facts = c.withColumn("hash", F.when(F.col("has_narrative") == 1, text_hash(normalize(F.col("narrative")), min_tokens)))
-    facts = with_company_group(facts.drop("narrative"), "company", "grp").drop("company").withColumnRenamed("grp", "company")
+    """The seven tables of ``c``, each one partial aggregation of its facts.
+
+    Cases with texts are hashed once and their facts written; cases that carry a hash already are used as they are.
+    """
+    normal = F.when(F.col("has_narrative") == 1, normalize(F.col("narrative")))
+    facts = c if "hash" in c.columns else c.withColumn("norm", normal).withColumn("hash", text_hash(F.col("norm"), min_tokens))
+    facts = facts.select("month", "segment", "state", "company", "company_response", "has_narrative", "hash")
+    if "hash" not in c.columns:
+        facts = materialize(facts, "facts")
+    facts = with_company_group(facts, "company", "grp").drop("company").withColumnRenamed("grp", "company")
     n, cases, narr = F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("complaints"), F.sum(F.col("has_narrative").cast("long")).alias("narratives")
     scored = facts.where("hash is not null")
     text = lambda key: scored.select(F.explode(F.array("hash", F.lit(ALL))).alias("hash"), key, "month").groupBy("hash", key, "month").agg(n)
@@ -194,7 +203,7 @@ def emit_headline(tables, template_min: int = 50) -> DataFrame:
     return cases.join(F.broadcast(texts)).withColumn("templated_pct", _pct(F.col("templated"), F.col("scored_narratives"), 2))
 
 
-#: Plausibility limits of a published payload.
+#: Plausibility limits of a published payload (fixed values).
 GATES = {"complaints": 15_000_000, "low_pct": 5.0, "high_pct": 70.0, "trend": 60, "states": 40, "companies": 8, "days": 75}
 
 

@@ -10,7 +10,7 @@ from casewright.functions import names, text
 from casewright.functions.geometry import ordinal
 from casewright.operators import bursts, channel, coverage, followups, geo, index, its, joins, neardup, series, templates, windows
 from casewright.sources import readers
-from casewright.sources.fixtures import complaints, population, scored, table
+from casewright.sources.fixtures import complaints, facts, population, scored, table
 from casewright.streaming import events as ev
 
 AS_OF = "2001-08-15"
@@ -31,7 +31,7 @@ def _c(spark, d):
 
 
 def _s(spark, d):
-    return scored(complaints(spark, d))
+    return scored(facts(spark, d))
 
 
 def _f(spark, d):
@@ -39,18 +39,18 @@ def _f(spark, d):
 
 
 def _idx(name):
-    return lambda spark, d: index.fold(_c(spark, d))[name]
+    return lambda spark, d: index.fold(facts(spark, d))[name]
 
 
 def _pruned(spark, d) -> DataFrame:
-    t = index.prune(index.fold(_c(spark, d)), 2, 10)
+    t = index.prune(index.fold(facts(spark, d)), 2, 10)
     parts = [t[n].groupBy("month").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).withColumn("tbl", F.lit(n)) for n in ("text_state_month", "text_company_month", "relief_month")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _refreshed(spark, d) -> DataFrame:
     """Tables folded from the cases before a month, then refreshed with the rest twice: equal to one full fold."""
-    c = _c(spark, d)
+    c = facts(spark, d)
     months = index.refresh_months("2001-03", "2001-08", 3)
     once = index.refresh(index.fold(c.where(~F.col("month").isin(months))), c, months)
     twice = index.refresh(once, c, months)
@@ -143,7 +143,7 @@ def _events(spark, d):
 
 
 def _checks(spark, d):
-    t = index.fold(_c(spark, d))
+    t = index.fold(facts(spark, d))
     pop = population(spark)
     return index.payload_checks(
         index.emit_headline(t, TEMPLATE_MIN), index.emit_trend(t, AS_OF, TEMPLATE_MIN, "1995-01", 5), index.emit_volume(t, AS_OF), index.emit_states(t, pop, AS_OF, TEMPLATE_MIN, 5, 12, OUT), index.emit_companies(t, AS_OF, TEMPLATE_MIN, 5), "2001-08-01", AS_OF, GATES
@@ -214,13 +214,13 @@ QUERIES = {
     **{f"idx_{n}": _idx(n) for n in ("text_month", "text_state_month", "text_company_month", "monthly", "company_month", "state_month", "relief_month")},
     "idx_refresh_equals_rebuild": _refreshed,
     "idx_prune": _pruned,
-    "idx_stats": lambda s, d: index.stats(index.fold(_c(s, d))),
-    "emit_headline": lambda s, d: index.emit_headline(index.fold(_c(s, d)), TEMPLATE_MIN),
-    "emit_trend": lambda s, d: index.emit_trend(index.fold(_c(s, d)), AS_OF, TEMPLATE_MIN, "1995-01", 5),
-    "emit_volume": lambda s, d: index.emit_volume(index.fold(_c(s, d)), AS_OF),
-    "emit_states": lambda s, d: index.emit_states(index.fold(_c(s, d)), population(s), AS_OF, TEMPLATE_MIN, 5, 12, OUT),
-    "emit_companies": lambda s, d: index.emit_companies(index.fold(_c(s, d)), AS_OF, TEMPLATE_MIN, 5),
-    "emit_relief": lambda s, d: index.emit_relief(index.fold(_c(s, d)), AS_OF, TEMPLATE_MIN, 3),
+    "idx_stats": lambda s, d: index.stats(index.fold(facts(s, d))),
+    "emit_headline": lambda s, d: index.emit_headline(index.fold(facts(s, d)), TEMPLATE_MIN),
+    "emit_trend": lambda s, d: index.emit_trend(index.fold(facts(s, d)), AS_OF, TEMPLATE_MIN, "1995-01", 5),
+    "emit_volume": lambda s, d: index.emit_volume(index.fold(facts(s, d)), AS_OF),
+    "emit_states": lambda s, d: index.emit_states(index.fold(facts(s, d)), population(s), AS_OF, TEMPLATE_MIN, 5, 12, OUT),
+    "emit_companies": lambda s, d: index.emit_companies(index.fold(facts(s, d)), AS_OF, TEMPLATE_MIN, 5),
+    "emit_relief": lambda s, d: index.emit_relief(index.fold(facts(s, d)), AS_OF, TEMPLATE_MIN, 3),
     "payload_checks": _checks,
     "upsert_latest": _upsert,
     "population_unpivot": _unpivot,
