@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright import dims
+from casewright.functions.text import normalize
 from casewright.operators import bursts, components, index, its, joins, neardup, series, windows
 from casewright.sources import readers, sinks
 from casewright.streaming import events as ev
@@ -116,6 +117,85 @@ def test_near_duplicates_join_chains_and_copies(spark):
     assert neardup.near_duplicate_clusters(c, verify=True).count() == 3
 
 
+def test_near_duplicates_against_plain_python(spark):
+    """Clusters, cohesion and bands of the smallest tables, from signatures computed one shingle and permutation at a time."""
+    import xxhash
+
+    from casewright.plans import queries
+    from tests.conftest import SF
+
+    c = queries.complaints(spark, SF)
+    rows = {r.complaint_id: r.norm for r in c.where("has_narrative = 1").select("complaint_id", normalize(F.col("narrative")).alias("norm")).collect() if len(r.norm.split()) >= 25}
+    factor, shift = (x.tolist() for x in neardup.permutations(64))
+    full, odd = (1 << 64) - 1, int(neardup._ODD)
+
+    def grams(text):
+        words, out = [xxhash.xxh64_intdigest(w.encode()) for w in text.split()], set()
+        for i in range(len(words) - 4):
+            h = 0
+            for w in words[i : i + 5]:
+                h = ((h + w) & full) * odd & full
+                h ^= h >> 29
+            out.add(h)
+        return out
+
+    bands, width = neardup.bands_for(0.8, 64)
+    sets, parent, met = {n: grams(t) for n, t in rows.items()}, {n: n for n in rows}, {}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n in sorted(rows):
+        low = []
+        for f, s in zip(factor, shift):
+            mixed = ((g * f + s) & full for g in sets[n])
+            low.append(min((m ^ m >> 32) * odd & full for m in mixed))
+        for b in range(bands):
+            other = met.setdefault((b, tuple(low[b * width : (b + 1) * width])), n)
+            x, y = sorted((find(other), find(n)))
+            parent[y] = x
+    want = {}
+    for n in rows:
+        want.setdefault(find(n), []).append(n)
+    want = {k: sorted(v) for k, v in want.items() if len(v) > 1}
+    members = neardup.near_duplicate_clusters(c)
+    got = {}
+    for r in members.collect():
+        got.setdefault(r.cluster, []).append(r.complaint_id)
+        assert r.norm == rows[r.complaint_id]
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 3
+    alike = lambda x, y: len(x & y) / len(x | y)
+    sims = {k: [alike(sets[n], sets[k]) for n in v[:40] if n != k] for k, v in want.items() if len(v) >= 3}
+    found = neardup.cohesion(members, min_size=3)
+    assert {r.cluster: (r.size, r.sampled, round(r.mean_similarity, 9), round(r.cohesion_pct, 9)) for r in found.collect()} == {
+        k: (len(want[k]), len(v), round(statistics.fmean(v), 9), round(100 * sum(x >= 0.8 for x in v) / len(v), 9)) for k, v in sims.items()
+    }
+    bands_ = {}
+    for k, v in sims.items():
+        pct = 100 * sum(x >= 0.8 for x in v) / len(v)
+        name = "tight" if pct >= 80 else "moderate" if pct >= 50 else "loose" if pct >= 20 else "chained"
+        clusters, cases = bands_.get(name, (0, 0))
+        bands_[name] = clusters + 1, cases + len(want[k])
+    assert {r.band: (r.clusters, r.complaints) for r in neardup.cohesion_bands(found).collect()} == bands_
+
+
+def test_no_band_is_left_out(spark):
+    text = [f"w{i}" for i in range(60)]
+    rows = [case(i, "2020-01-05", " ".join([*text, *[f"u{i}x{j}" for j in range(3)]])) for i in range(40)]
+    c = spark.createDataFrame(rows, CASE)
+    every = neardup.near_duplicate_clusters(c)
+    assert {r.cluster for r in every.collect()} == {0} and every.count() == 40
+    assert neardup.near_duplicate_clusters(c, max_group=3).count() < 40
+
+
+def test_near_duplicates_of_nothing(spark):
+    c = spark.createDataFrame([case(1, "2020-01-05", ""), case(2, "2020-01-05", "XXXX " * 40), case(3, "2020-01-05", "a b c")], CASE)
+    members = neardup.near_duplicate_clusters(c)
+    assert members.count() == 0 and neardup.cohesion(members).count() == 0
+
+
 def test_cluster_rows_are_whole(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [case(5, "2020-01-05", "XXXX " + text, "s1", "B", "TX"), case(7, "2020-02-05", text, "s2", "A", ""), case(9, "2020-01-09", text + " XX/XX", "s1", "", "NY"), case(11, "2020-01-09", text, "s1", "C", "NY"), case(12, "2020-01-09", text, "s1", "D", "NY")]
@@ -194,6 +274,34 @@ def test_placebo_bounds_and_changepoints(spark):
     assert its.changepoints(monthly(spark, values[:10])).count() == 0
 
 
+def _greedy_breaks(y, penalty, jump=5, least=2):
+    """The best split of all segments again and again, costs by definition."""
+    cost = lambda a, b: float(((y[a:b] - y[a:b].mean()) ** 2).sum())
+    cuts = [0, len(y)]
+    while True:
+        gains = [(cost(a, b) - cost(a, k) - cost(k, b), -k) for a, b in zip(cuts, cuts[1:]) for k in range(jump, len(y), jump) if k - a >= least and b - k >= least]
+        if not gains or max(gains)[0] <= penalty + 1e-9:
+            return cuts[1:-1]
+        cuts = sorted([*cuts, -max(gains)[1]])
+
+
+@pytest.mark.parametrize("levels", [[100, 300] * 6, [50, 80, 200, 20, 500, 90, 700, 10, 300, 33], [100] * 4])
+def test_changepoints_have_no_limit(spark, levels):
+    values = [v for v in levels for _ in range(20)]
+    y = np.log1p(np.array(values, float))
+    want = _greedy_breaks(y, 3 * y.std())
+    assert its.binary_segmentation(y) == want and (len(want) > 5 or set(levels) == {100})
+    got = its.changepoints(monthly(spark, values)).orderBy("date").collect()
+    assert [r.date.year * 12 + r.date.month for r in got] == [2010 * 12 + 1 + k for k in want]
+
+
+def test_changepoints_of_noise_against_brute_force():
+    rng = np.random.default_rng(11)
+    for size in (24, 60, 131):
+        y = np.log1p(rng.poisson(np.repeat(rng.integers(1, 60, size // 12 + 1), 12)[:size]).astype(float))
+        assert its.binary_segmentation(y, 0.5) == _greedy_breaks(y, 0.5)
+
+
 def test_new_entrants_look_at_all_segments(spark):
     rows = [case(1, "2020-01-01", segment="mortgage", company="X"), *[case(10 + i, "2020-02-01", company="X") for i in range(5)], *[case(20 + i, "2020-02-01", company="Y") for i in range(5)]]
     got = bursts.new_entrants(spark.createDataFrame(rows, CASE), ["card"], 3).collect()
@@ -229,8 +337,12 @@ def test_sinks_and_buckets(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "o"))
     back = spark.read.option("header", True).csv(str(tmp_path / "o")).select(sinks.read_array("ids").alias("ids")).first()
     assert back.ids == [3, 4]
-    found = spark.createDataFrame([('{"aggs":{"p":{"buckets":[{"key":"a","doc_count":2}]}}}',)], "j string").select(readers.find_buckets(F.col("j")).alias("b")).first().b
-    assert found is None or found[0].key == "a"
+    deep = '{"buckets":[{"key":"a","doc_count":2},{"key":7}]}'
+    for _ in range(9):
+        deep = '{"n":[1],"p":' + deep + ',"q":{"buckets":[]}}'
+    texts = [deep, '{"buckets":3,"x":{"buckets":[]}}', '{"x":[{"buckets":[1]}]}', "no json", "", None]
+    got = [r.b for r in spark.createDataFrame([(t,) for t in texts], "j string").coalesce(1).select(readers.find_buckets(F.col("j")).alias("b")).collect()]
+    assert [None if b is None else [tuple(x) for x in b] for b in got] == [[("a", 2), ("7", None)], [], None, None, None, None]
     assert sinks.markdown_table(spark.createDataFrame([(1, "x")], "a int, b string")).splitlines()[2] == "| 1 | x |"
 
 
