@@ -1,59 +1,16 @@
-"""Intermediate tables in the folder all executors share.
-
-A written table cuts lineage like ``checkpoint()`` does and survives the loss of
-any executor, but stays columnar and compressed.
-"""
+"""Tables of the operators: intermediate ones in the shared folder, inputs, joins on hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own_dir: list[str] = []
-_written: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="casewright-"))
-        spark.sparkContext.setCheckpointDir(_own_dir[0])
-    return _own_dir[0]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._casewright_path = path
-    _written.add(path)
-    return out
-
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _written.discard(path)
+from casewright.storage import discard, materialize, release, shared_dir, spread
 
+__all__ = ["discard", "hot_join", "materialize", "release", "shared_dir", "spread", "table", "unused"]
 
-def discard(*tables: DataFrame) -> None:
-    """Delete written tables that no later plan reads."""
-    for t in tables:
-        if path := getattr(t, "_casewright_path", None):
-            _delete(t.sparkSession, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table this process still keeps; for use once the results that read them are written."""
-    for path in list(_written):
-        _delete(spark, path)
+#: Tasks over which the rows of one hot key are dealt.
+SALTS = 64
 
 
 def unused(columns: list[str], name: str) -> str:
@@ -64,11 +21,18 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores; an input with more stays as it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, by: str, lone: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` (one row a key), where one key may hold any share of ``rows``.
+
+    Rows of a key are dealt by their ``by`` column over ``SALTS`` places and the key's facts sent
+    to each of them. A key with a single row needs no copies: ``lone`` is that row's ``by``
+    (null for keys with several rows, or where it is null itself).
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    everywhere = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    facts = facts.withColumn("_place", F.explode(F.when(lone.isNotNull(), F.array(place(lone))).otherwise(everywhere)))
+    return rows.withColumn("_place", place(F.col(by))).join(facts, [key, "_place"], how).drop("_place")
