@@ -22,14 +22,14 @@ def pack_blocks(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
     return used, [zlib.compress(blocks[i].tobytes(), 1) for i in used]
 
 
-def sum_blocks(blocks: DataFrame, bits: int, dtype: str) -> np.ndarray:
-    """Sum of packed blocks (columns block int, counts binary) as one array of 2**bits; bool is or."""
+def sum_blocks(blocks: DataFrame, bits: int, dtype: str, join: np.ufunc = np.add) -> np.ndarray:
+    """Sum (or another ``join``) of packed blocks (columns block int, counts binary) as one array of 2**bits."""
     size = (1 << bits) // N_BLOCKS
 
     def add(pdf):
         total = np.zeros(size, dtype)
         for raw in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(raw), dtype)
+            join(total, np.frombuffer(zlib.decompress(raw), dtype), out=total)
         pdf = pdf.head(1).copy()
         pdf["counts"] = [zlib.compress(total.tobytes(), 1)]
         return pdf[["block", "counts"]]
@@ -45,14 +45,26 @@ def sum_blocks(blocks: DataFrame, bits: int, dtype: str) -> np.ndarray:
     return out.ravel()
 
 
+def bitmap_bits(n: int) -> int:
+    """Bits of a bitmap of ``n`` ids: 16 places for each, 2**16 at least and 2**28 (32 MB) at most."""
+    return min(28, max(16, (16 * n).bit_length()))
+
+
 def bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of the top ``bits`` bits of the one long column of ``ids``."""
+    """Packed bitmap of the top ``bits`` bits of the one long column of ``ids``; ask it with ``in_bitmap``."""
 
     def run(batches):
-        seen = np.zeros(1 << bits, bool)
+        seen = np.zeros(1 << bits - 3, np.uint8)
         for batch in batches:
-            seen[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)] = True
+            at = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
         used, packed = pack_blocks(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
-    return sum_blocks(ids.mapInArrow(run, "block int, counts binary"), bits, "bool")
+    return sum_blocks(ids.mapInArrow(run, "block int, counts binary"), bits - 3, "uint8", np.bitwise_or)
+
+
+def in_bitmap(held: np.ndarray, id_: int) -> bool:
+    bits = len(held).bit_length() + 2
+    at = (id_ & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
+    return bool(held[at >> 3] >> (at & 7) & 1)

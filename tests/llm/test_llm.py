@@ -202,6 +202,39 @@ def test_every_jaccard_link_is_counted(spark, rows):
     assert sorted((str(r.doc_id), r.n_shingles, r.links) for r in got) == brute_degrees(rows)
 
 
+def shared_line(seed, docs=60):
+    """Unlinked documents with one passage in common, some of them near copies of each other."""
+    rnd = random.Random(seed)
+    passage = [f"p{i}" for i in range(6)]
+    rows = []
+    for i in range(docs):
+        words = [f"w{rnd.randrange(4000)}" for _ in range(rnd.choice((4, 5, 9, 18, 40)))]
+        rows.append((i, " ".join(passage + words), "s"))
+        if i % 5 == 0:
+            rows.append((1000 + i, " ".join(passage + words[:-1] + ["end"]), "s"))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [shared_line(1), shared_line(2), near_copies(4, groups=2, size=30)])
+def test_frequent_shingles_are_compared_in_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", 40)
+    test_jaccard_against_brute_force(spark, rows)
+    test_every_jaccard_link_is_counted(spark, rows)
+
+
+def test_chunks_lose_no_row():
+    rng = np.random.default_rng(4)
+    h, cid, place = rng.integers(0, 30, 500), rng.integers(0, 80, 500), rng.integers(0, 9, 500)
+    columns = [c.to_pylist() for c in jaccard_join.combine(h, cid, place, 7)]
+    assert sorted(zip(columns[0], columns[2], columns[3])) == sorted(zip(h.tolist(), cid.tolist(), place.tolist()))
+    for x in set(h.tolist()):
+        own = sorted((p, c) for g, c, p in zip(h.tolist(), cid.tolist(), place.tolist()) if g == x)
+        mine = [(salt, c, p, lead) for g, salt, c, p, lead in zip(*columns) if g == x]
+        assert [(p, c) for salt, c, p, _ in mine if salt == 0] == [own[0]] and {salt for salt, *_ in mine} <= {0, 7}
+        assert {None if lead is None else (lead["place"], lead["cid"]) for *_, lead in mine} == {own[0] if len({c for _, c in own}) > 1 else None}
+
+
 def test_no_jaccard_links_in_nothing(empty):
     assert jaccard_join.jaccard_degrees(empty).count() == 0
 
