@@ -92,6 +92,7 @@ ORACLE = {
     "monthly_by_channel": q(C, f"select month, submitted_via, {CNT}, {M} from c where month < '{AS_OF}' group by month, submitted_via"),
     "daily_counts": q(C, f"select date_received, {CNT} from c where segment = 'automobile' and date_received between date '1996-01-01' and date '1997-12-31' group by 1"),
     "gap_filled_series": q(C.replace("on d.doc_id = o.o_orderkey)", "on d.doc_id = o.o_orderkey where o.o_orderkey % 3 = 0)") + ", " + FILLED.replace("{e}", "company"), "select entity as company, month_start, complaints from filled"),
+    "gap_filled_companies": q(C + ", " + FILLED.replace("{e}", "company"), "select entity as company, month_start, complaints from filled"),
     "segment_and_all": q(C, f"select segment, month, {CNT} from c where segment in ('automobile', 'building') group by all union all select 'ALL_SELECTED', month, {CNT} from c where segment in ('automobile', 'building') group by month"),
     "coverage": q(C, f"select {SPAN}, cast(sum(has_narrative) as bigint) as narratives, count(distinct company) as companies, count(distinct state) as states from c"),
     "segment_counts": q(C, f"select segment, {SPAN} from c group by 1"),

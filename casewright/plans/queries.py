@@ -168,6 +168,7 @@ QUERIES = {
     "monthly_by_channel": lambda s, d: series.monthly_counts(_c(s, d), "submitted_via", AS_OF),
     "daily_counts": lambda s, d: series.daily_counts(_c(s, d).where(series.in_scope((SEGMENT,), "1996-01-01", "1997-12-31"))),
     "gap_filled_series": lambda s, d: series.gap_filled(series.monthly_counts(_c(s, d), "company", AS_OF), "company"),
+    "gap_filled_companies": lambda s, d: series.gap_filled(series.monthly_counts(_c(s, d), "company", AS_OF), "company"),
     "segment_and_all": lambda s, d: series.per_segment_and_all(_c(s, d), (SEGMENT, "building")),
     "coverage": lambda s, d: coverage.coverage(_c(s, d)),
     "segment_counts": lambda s, d: coverage.segment_counts(_c(s, d)),
