@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_r
     n_buckets = F.ceil(F.col("source_rows") / bucket_rows)
     rows = sized.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * n_buckets), n_buckets - 1).cast("long"))
-    order = ["key", "doc_id", "size"]
+    order = ["key", "doc_id", "size", *keep]
     first = _prefix(rows, "size", order).withColumn("drawn", F.col("upto") <= F.col("budget"))
     first = materialize(first.drop("upto", "source_rows"), "first")
     gap = first.where("drawn").groupBy("source_no").agg(F.sum("size").alias("got"))
@@ -97,13 +97,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_r
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it. Rows are told apart by id and text; repeated ones share the larger count."""
-    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    """``docs`` with each row as often as the mix takes it. Rows are told apart by a number written beside them, so repeated ones are drawn one by one."""
     names = docs.columns
-    own, id_, of, copies, again = (unused(names, n) for n in ("_digest", "_id", "_of", "_copies", "_again"))
-    keyed = docs.withColumn(own, digest)
-    taken = mix(keyed, keep=[own], **how).groupBy(F.col("doc_id").alias(id_), F.col(own).alias(of)).agg(F.max("copies").alias(copies))
-    both = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(of))).where(F.col(copies) > 0)
+    row, of, copies, again = (unused(names, n) for n in ("_row", "_of", "_copies", "_again"))
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, keep=[row], **how).where("copies > 0").select(F.col(row).alias(of), F.col("copies").alias(copies))
+    both = numbered.join(taken, F.col(row) == F.col(of))
     return both.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*names)
 
 

@@ -97,6 +97,14 @@ def test_mixing_hard_cases(hard, empty):
     assert mixing.mixed_documents(hard.where("doc_id < 11")).columns == hard.columns
 
 
+def test_repeated_rows_are_drawn_one_by_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    docs = docs.unionByName(docs).unionByName(docs)
+    want = {r.source: r.words for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("words")).collect()}
+    mixed = mixing.mixed_documents(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("words"))
+    assert {r.source: r.words for r in mixed.collect()} == {s: w for s, w in want.items() if w}
+
+
 def test_heavier_documents_are_drawn_more_often(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "plain words only").otherwise("### $$$ %%%").alias("text"), F.lit("a").alias("source"))
     other = docs.select("doc_id", "text", F.lit("b").alias("source"))
