@@ -56,13 +56,14 @@ def svg_path(rings: list[list[tuple[float, float]]], digits: int = 1) -> str:
     return "".join("M" + "L".join(f"{x:.{digits}f},{y:.{digits}f}" for x, y in ring) + "Z" for ring in rings if len(ring) > 2)
 
 
+#: Steps of an axis (fixed values).
+TICK_STEPS = (1, 2, 2.5, 5, 10, 20, 25, 50, 100, 200, 250, 500, 1000)
+
+
 def nice_ticks(high: float) -> list[float]:
-    """Ticks from 0 by the first step of 1, 2, 2.5 or 5 times a power of ten that needs five at most."""
-    if high <= 0:
-        return [0.0]
-    power = 10.0 ** (math.floor(math.log10(high)) - 1)
-    step = next(s for m in (1, 10, 100) for s in (power * m, 2 * power * m, 2.5 * power * m, 5 * power * m) if high / s <= 5)
-    return [i * step for i in range(math.floor(high / step) + 1)]
+    """Ticks from 0 to ``high`` by the first fixed step that needs five at most, else by a fifth of ``high``."""
+    step = next((s for s in TICK_STEPS if high <= 5 * s), high / 5)
+    return [i * step for i in range(math.floor(high / step + 0.001) + 1)]
 
 
 def ordinal(n: Column) -> Column:

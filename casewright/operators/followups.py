@@ -29,6 +29,11 @@ def geo_split(flagged: DataFrame, population: DataFrame, segment: str, year: int
     return per.select("state", "templated", "organic", rate("templated"), rate("organic"))
 
 
+def rate_ratio(split: DataFrame) -> DataFrame:
+    """Templated over organic rate by state, the denominator at least 0.01."""
+    return split.withColumn("ratio", F.col("templated_per_100k") / F.greatest("organic_per_100k", F.lit(0.01)))
+
+
 def geo_split_stats(split: DataFrame) -> DataFrame:
     """Spread of both rates over states: largest over smallest, coefficient of variation (population deviation), correlation."""
     stats = [(F.max(f"{c}_per_100k") / F.greatest(F.min(f"{c}_per_100k"), F.lit(1e-9))).alias(f"{c}_max_min") for c in ("templated", "organic")]

@@ -71,6 +71,25 @@ def refresh(tables: dict[str, DataFrame], fresh: DataFrame, months: list[str], m
     return {name: t.unionByName(new[name]) for name, t in purge(tables, months).items()}
 
 
+def backfill_months(tables: dict[str, DataFrame], last: int = 18, since: str | None = None) -> list[str]:
+    """The index's months from ``since`` on, else its ``last`` ones."""
+    months = sorted(r[0] for r in tables["monthly"].select("month").distinct().collect())
+    return [m for m in months if m >= since] if since else months[-last:]
+
+
+def backfill_companies(tables: dict[str, DataFrame], c: DataFrame, months: list[str], company_top: int = COMPANY_TOP, min_tokens: int = 25) -> dict[str, DataFrame]:
+    """``tables`` with the firms' text detail of the given months counted anew from ``c``, and kept for the largest firms only; no other table changes."""
+    new = fold(c.where(F.col("month").isin(months)), min_tokens)["text_company_month"].where("company <> ''")
+    detail = purge({"detail": tables["text_company_month"]}, months)["detail"].unionByName(new)
+    detail = detail.join(F.broadcast(_largest(tables, company_top)), "company", "left_semi")
+    return tables | {"text_company_month": detail.select(*schema.INDEX["text_company_month"].fieldNames())}
+
+
+def _largest(tables: dict[str, DataFrame], k: int) -> DataFrame:
+    """The ``k`` firms with the most cases (ties: name)."""
+    return tables["company_month"].groupBy("company").agg(F.sum("complaints").alias("_c")).orderBy(F.desc("_c"), "company").limit(k).select("company")
+
+
 def refresh_months(watermark: str, as_of: str, months_back: int = 3) -> list[str]:
     """Months from ``months_back`` before the watermark's to that of ``as_of``, both included."""
     count = lambda m: int(m[:4]) * 12 + int(m[5:7]) - 1
@@ -91,7 +110,7 @@ def prune(tables: dict[str, DataFrame], detail_min: int = DETAIL_MIN, company_to
     """Tables for publication: rare texts leave the detail, only the largest firms keep text detail, rare relief rows fold into hash ''."""
     common = tables["text_month"].groupBy("hash").agg(F.sum("n").alias("_n")).where(F.col("_n") >= detail_min).select("hash")
     kept = common.unionByName(common.sparkSession.createDataFrame([(ALL,)], "hash string"))
-    top = tables["company_month"].groupBy("company").agg(F.sum("complaints").alias("_c")).orderBy(F.desc("_c"), "company").limit(company_top).select("company")
+    top = _largest(tables, company_top)
     relief = tables["relief_month"].join(common.withColumn("_common", F.lit(True)), "hash", "left")
     relief = relief.withColumn("hash", F.when(F.col("_common"), F.col("hash")).otherwise("")).groupBy("segment", "month", "hash", "relieved").agg(F.sum("n").alias("n"))
     detail = lambda name: tables[name].join(kept, "hash", "left_semi")

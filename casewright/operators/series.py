@@ -67,3 +67,10 @@ def per_segment_and_all(c: DataFrame, segments) -> DataFrame:
     chosen = c.where(F.col("segment").isin(list(segments)))
     sets = chosen.select("segment", "month", "has_narrative").groupingSets([("segment", "month"), ("month",)], "segment", "month").agg(cases(), narratives())
     return sets.withColumn("segment", F.coalesce("segment", F.lit("ALL_SELECTED")))
+
+
+def against_others(c: DataFrame, segment: str, since: str = "2012-01") -> DataFrame:
+    """Per month in which ``segment`` has cases: its count, that of all other segments together, and the decimal logarithm of both (null for 0)."""
+    mine = F.col("segment") == segment
+    out = c.where((F.col("month") >= since) & F.col("segment").isNotNull()).groupBy("month").agg(F.count_if(mine).alias("complaints"), F.count_if(~mine).alias("others")).where("complaints > 0")
+    return out.withColumns({f"log_{n}": F.when(F.col(n) > 0, F.log10(n)) for n in ("complaints", "others")})

@@ -128,6 +128,14 @@ ORACLE = {
     "rate_templating_corr": q(RVT, "select count(*) as n, case when count(*) > 2 then round(covar_pop(rate_per_100k, templated_pct) / nullif(stddev_pop(rate_per_100k) * stddev_pop(templated_pct), 0), 6) end as r from rvt"),
     "issue_topk": q(C, "select cast(y as integer) as grp, issue, n from (select year(date_received) as y, issue, count(*) as n from c group by all) qualify row_number() over (partition by y order by n desc, issue) <= 3"),
     "channel_by_year": q(C, "select cast(year(date_received) as integer) as year, submitted_via, count(*) as n from c group by all"),
+    "rate_ratio": q(SPLIT, f"select state, templated, organic, {rr('templated_per_100k', 'organic_per_100k')}, round(templated_per_100k / greatest(organic_per_100k, 0.01), 6) as ratio from split"),
+    "against_others": q(C, "select month, m as complaints, o as others, round(case when m > 0 then log10(m) end, 6) as log_complaints, round(case when o > 0 then log10(o) end, 6) as log_others from (select month, count(*) filter (segment = 'automobile') as m, count(*) filter (segment <> 'automobile') as o from c where month >= '1995-01' group by 1) where m > 0"),
+    "display_formats": q(C, "select month, strftime(cast(month || '-01' as date), '%B %Y') as label, format('{:,}', count(*)) as cases, printf('%.2f%%', 100.0::double * sum(has_narrative) / count(*)) as coverage from c group by month"),
+    "escaped_texts": "select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') as shown from documents",
+    "coverage_ends": q(C + ", m as (select month, count(*) as complaints from c group by 1)", "select month, complaints from m qualify row_number() over (order by month) <= 7 or row_number() over (order by month desc) <= 4"),
+    "top_templates": q(S + ", t as (select hash, count(*) as size, min(complaint_id) as complaint_id from s group by 1 order by size desc, complaint_id limit 12)", "select hash, size, complaint_id, c.issue, substr(trim(regexp_replace(narrative, '\\s+', ' ', 'g')), 1, 300) as exemplar from t join c using (complaint_id)"),
+    "idx_backfill_companies": q(I + f", tc as ({T_COMP}), big as (select co as company from kc group by 1 order by count(*) desc, company limit 10)", "select hash, company, month, n from tc where company in (select company from big)"),
+    "idx_merge": q(I, f"select co as company, segment, month, {CNT} from kc group by all"),
     "geo_split": q(SPLIT, f"select state, templated, organic, {rr('templated_per_100k', 'organic_per_100k')} from split"),
     "geo_split_stats": q(SPLIT, "select count(*) as states, " + ", ".join(f"round(max({c}_per_100k) / greatest(min({c}_per_100k), 1e-9), 5) as {c}_max_min, round(stddev_pop({c}_per_100k) / nullif(avg({c}_per_100k), 0), 5) as {c}_cv" for c in ("templated", "organic")) + ", round(covar_pop(templated_per_100k, organic_per_100k) / nullif(stddev_pop(templated_per_100k) * stddev_pop(organic_per_100k), 0), 5) as r from split"),
     "relief_mix": q(CLOSED, f"select segment, templated, count(*) as n, {RELIEF_PCT} from cl group by all"),

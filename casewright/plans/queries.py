@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright import dims
-from casewright.functions import names, text
+from casewright.functions import formats, names, text
 from casewright.functions.geometry import ordinal
 from casewright.operators import bursts, channel, coverage, followups, geo, index, its, joins, neardup, series, templates, windows
 from casewright.sources import readers
@@ -57,6 +57,26 @@ def _refreshed(spark, d) -> DataFrame:
     return twice["company_month"]
 
 
+def _backfilled(spark, d) -> DataFrame:
+    """Firms' text detail whose last months were counted wrongly, after their backfill."""
+    c = facts(spark, d)
+    tables = index.fold(c)
+    months = index.backfill_months(tables, 18)
+    wrong = tables["text_company_month"].withColumn("n", F.col("n") + F.col("month").isin(months).cast("long"))
+    return index.backfill_companies(tables | {"text_company_month": wrong}, c, months, 10)["text_company_month"]
+
+
+def _merged(spark, d) -> DataFrame:
+    """The company table of an index merged from those of two spans."""
+    c = facts(spark, d)
+    return index.merge(index.fold(c.where("month < '1998-01'")), index.fold(c.where("month >= '1998-01'")))["company_month"]
+
+
+def _shown(spark, d) -> DataFrame:
+    pct = F.lit(100.0) * F.col("narratives") / F.col("complaints")
+    return series.monthly_counts(_c(spark, d)).select("month", formats.month_label(F.col("month")).alias("label"), formats.grouped(F.col("complaints")).alias("cases"), formats.percent(pct, 2).alias("coverage"))
+
+
 def _bursts(spark, d):
     return bursts.company_bursts(_c(spark, d), AS_OF, 5, 2.5)
 
@@ -170,6 +190,11 @@ QUERIES = {
     "gap_filled_series": lambda s, d: series.gap_filled(series.monthly_counts(_c(s, d), "company", AS_OF), "company"),
     "gap_filled_companies": lambda s, d: series.gap_filled(series.monthly_counts(_c(s, d), "company", AS_OF), "company"),
     "segment_and_all": lambda s, d: series.per_segment_and_all(_c(s, d), (SEGMENT, "building")),
+    "against_others": lambda s, d: _r(series.against_others(_c(s, d), SEGMENT, "1995-01"), "log_complaints", "log_others"),
+    "display_formats": _shown,
+    "escaped_texts": lambda s, d: table(s, d, "documents").select("doc_id", formats.escaped(F.col("text")).alias("shown")),
+    "coverage_ends": lambda s, d: joins.ends(series.monthly_counts(_c(s, d)).select("month", "complaints"), ["month"], 7, 4),
+    "top_templates": lambda s, d: templates.top_templates(_s(s, d), _c(s, d)),
     "coverage": lambda s, d: coverage.coverage(_c(s, d)),
     "segment_counts": lambda s, d: coverage.segment_counts(_c(s, d)),
     "narrative_coverage": lambda s, d: coverage.narrative_coverage(_c(s, d), "1996-01"),
@@ -202,6 +227,7 @@ QUERIES = {
     "issue_topk": lambda s, d: followups.issue_topk(_c(s, d), F.year("date_received"), 3),
     "channel_by_year": lambda s, d: followups.channel_by_year(_c(s, d)),
     "geo_split": lambda s, d: _r(followups.geo_split(_f(s, d), population(s), SEGMENT, 1996, 1, OUT), "templated_per_100k", "organic_per_100k"),
+    "rate_ratio": lambda s, d: _r(followups.rate_ratio(followups.geo_split(_f(s, d), population(s), SEGMENT, 1996, 1, OUT)), "templated_per_100k", "organic_per_100k", "ratio"),
     "geo_split_stats": lambda s, d: _r(followups.geo_split_stats(followups.geo_split(_f(s, d), population(s), SEGMENT, 1996, 1, OUT)), "templated_max_min", "organic_max_min", "templated_cv", "organic_cv", "r", digits=5),
     "relief_mix": lambda s, d: followups.relief_mix(_f(s, d), 1996),
     "relief_breakdown": lambda s, d: followups.relief_breakdown(_f(s, d), 1996),
@@ -215,6 +241,8 @@ QUERIES = {
     **{f"idx_{n}": _idx(n) for n in ("text_month", "text_state_month", "text_company_month", "monthly", "company_month", "state_month", "relief_month")},
     "idx_refresh_equals_rebuild": _refreshed,
     "idx_prune": _pruned,
+    "idx_backfill_companies": _backfilled,
+    "idx_merge": _merged,
     "idx_stats": lambda s, d: index.stats(index.fold(facts(s, d))),
     "emit_headline": lambda s, d: index.emit_headline(index.fold(facts(s, d)), TEMPLATE_MIN),
     "emit_trend": lambda s, d: index.emit_trend(index.fold(facts(s, d)), AS_OF, TEMPLATE_MIN, "1995-01", 5),

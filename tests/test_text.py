@@ -72,3 +72,19 @@ def test_geometry(spark):
     assert simplify([(0, 0), (1, 0.01), (2, 0), (2, 2)]) == [(0, 0), (2, 0), (2, 2)]
     assert svg_path([[(0, 0), (1, 0), (1, 1)]]) == "M0.0,0.0L1.0,0.0L1.0,1.0Z"
     assert nice_ticks(87) == [0, 20, 40, 60, 80]
+
+
+def test_display_formats(spark):
+    from casewright.functions import formats
+
+    rows = spark.createDataFrame([(1234567, 0.25, "2024-03", "<a href='x'>&\""), (None, None, None, None), (0, 12.34, "2024-13", ""), (-5, 0.15, "other", "é")], "n long, x double, m string, t string")
+    got = rows.select(formats.grouped(F.col("n")), formats.percent(F.col("x")), formats.percent(F.col("x"), 0), formats.month_label(F.col("m")), formats.escaped(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("1,234,567", "0.3%", "0%", "March 2024", "&lt;a href=&#x27;x&#x27;&gt;&amp;&quot;"), ("—", "—", "—", None, None), ("0", "12.3%", "12%", "2024-13", ""), ("-5", "0.1%", "0%", "other", "é"),
+    ]
+
+
+def test_ticks_of_small_and_large_axes():
+    assert nice_ticks(0) == [0] and nice_ticks(0.7) == [0]
+    assert nice_ticks(5) == [0, 1, 2, 3, 4, 5] and nice_ticks(11) == [0, 2.5, 5, 7.5, 10]
+    assert nice_ticks(10_000) == [0, 2000, 4000, 6000, 8000, 10_000]
