@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from casewright import dims, schema, session
 from casewright.functions import names
 from casewright.operators import bursts, channel, coverage, geo, index, its, joins, neardup, series, templates
-from casewright.sources import readers, sinks
+from casewright.sources import extraction, readers, sinks
 from casewright.sources.fixtures import scored
+from casewright.storage import discard, materialize
 
 
 def _data(spark, args) -> DataFrame:
@@ -51,16 +52,34 @@ def probe(spark, args) -> None:
 
 
 def fetch(spark, args) -> None:
-    """Load an extract: rows replace those of the same id, in the months they fall into."""
+    """Load an extract: rows replace those of the same id, in the months they fall into.
+
+    With ``--append`` the extract is taken in passes by narrative flag (``--narratives``), and
+    windows that the ledger holds are passed over unless they are recent (``--anew``: none is).
+    The ledger is written last, so a run that breaks off is repeated, not trusted.
+    """
     c = readers.extract_csv(spark, args.source, args.start, args.end).where(F.col("segment").isin(_segments(args)))
-    months = [r[0] for r in c.select("month").distinct().collect()]
-    path = f"{args.data}/complaints"
-    if args.append:
-        old = spark.read.schema(schema.COMPLAINTS).parquet(path).where(F.col("month").isin(months))
-        staged = f"{args.data}/staged"
-        index.upsert(old, c).write.mode("overwrite").partitionBy("month").parquet(staged)
-        c = spark.read.schema(schema.COMPLAINTS).parquet(staged)
-    sinks.write_months(c, path)
+    path, log = f"{args.data}/complaints", f"{args.data}/ledger"
+    if not args.append:
+        sinks.write_months(c, path)
+        return
+    ends = c.agg(F.min("date_received").cast("string").alias("first"), F.max("date_received").cast("string").alias("last")).first()
+    if ends["first"] is None:
+        return
+    start, end = args.start or ends["first"], args.end or ends["last"]
+    products = sorted(x for s in _segments(args) for x in dims.SEGMENTS[s])
+    windows = extraction.plan(c, products, start, end, args.narratives)
+    windows = materialize(extraction.pending(windows, extraction.read_ledger(spark, log), end, not args.anew), "windows")
+    fetched = extraction.extract(c, windows, products)
+    months = [r[0] for r in fetched.select("month").distinct().collect()]
+    stored = spark.read.schema(schema.COMPLAINTS).parquet(path)
+    done = materialize(extraction.entries(windows, fetched, stored), "done")
+    if months:
+        both = materialize(index.upsert(stored.where(F.col("month").isin(months)), fetched.select(*stored.columns)), "staged")
+        sinks.write_months(both, path)
+        discard(both)
+    done.write.mode("append").parquet(log)
+    _show(args, ledger=done.orderBy("filter_key", "window_start"))
 
 
 def status(spark, args) -> None:
@@ -117,6 +136,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(flag, type=kind, default=default)
     p.add_argument("--segments", nargs="*")
     p.add_argument("--append", action="store_true")
+    p.add_argument("--anew", action="store_true")
+    p.add_argument("--narratives", choices=extraction.PASSES, default="split")
     return p
 
 

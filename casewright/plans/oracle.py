@@ -136,6 +136,7 @@ ORACLE = {
     "top_templates": q(S + ", t as (select hash, count(*) as size, min(complaint_id) as complaint_id from s group by 1 order by size desc, complaint_id limit 12)", "select hash, size, complaint_id, c.issue, substr(trim(regexp_replace(narrative, '\\s+', ' ', 'g')), 1, 300) as exemplar from t join c using (complaint_id)"),
     "idx_backfill_companies": q(I + f", tc as ({T_COMP}), big as (select co as company from kc group by 1 order by count(*) desc, company limit 10)", "select hash, company, month, n from tc where company in (select company from big)"),
     "idx_merge": q(I, f"select co as company, segment, month, {CNT} from kc group by all"),
+    "extraction_resumed": q(C, "select month, has_narrative, count(*) as n, count(distinct complaint_id) as ids from c where date_received between date '1992-01-01' and date '2001-12-31' group by all"),
     "geo_split": q(SPLIT, f"select state, templated, organic, {rr('templated_per_100k', 'organic_per_100k')} from split"),
     "geo_split_stats": q(SPLIT, "select count(*) as states, " + ", ".join(f"round(max({c}_per_100k) / greatest(min({c}_per_100k), 1e-9), 5) as {c}_max_min, round(stddev_pop({c}_per_100k) / nullif(avg({c}_per_100k), 0), 5) as {c}_cv" for c in ("templated", "organic")) + ", round(covar_pop(templated_per_100k, organic_per_100k) / nullif(stddev_pop(templated_per_100k) * stddev_pop(organic_per_100k), 0), 5) as r from split"),
     "relief_mix": q(CLOSED, f"select segment, templated, count(*) as n, {RELIEF_PCT} from cl group by all"),

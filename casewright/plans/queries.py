@@ -9,7 +9,7 @@ from casewright import dims
 from casewright.functions import formats, names, text
 from casewright.functions.geometry import ordinal
 from casewright.operators import bursts, channel, coverage, followups, geo, index, its, joins, neardup, series, templates, windows
-from casewright.sources import readers
+from casewright.sources import extraction, readers
 from casewright.sources.fixtures import complaints, facts, population, scored, table
 from casewright.streaming import events as ev
 
@@ -77,6 +77,18 @@ def _shown(spark, d) -> DataFrame:
     return series.monthly_counts(_c(spark, d)).select("month", formats.month_label(F.col("month")).alias("label"), formats.grouped(F.col("complaints")).alias("cases"), formats.percent(pct, 2).alias("coverage"))
 
 
+def _extracted(spark, d) -> DataFrame:
+    """A resumed extraction in two passes: the days up to 1998 are in the ledger, the recent ones come again."""
+    c = _c(spark, d)
+    products, passes = [r[0] for r in table(spark, d, "customer").select("c_mktsegment").distinct().collect()], {"split": ((1, 50), (0, 2000))}
+    windows = extraction.plan(c, products, "1992-01-01", "2001-12-31", passes=passes)
+    first = windows.where("window_end < '1998-01-01'")
+    ledger = extraction.entries(first, extraction.extract(c, first, products), c.limit(0))
+    again = extraction.extract(c, extraction.pending(windows, ledger, "2001-12-31"), products)
+    both = extraction.extract(c, first, products).unionByName(again)
+    return both.groupBy("month", "has_narrative").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("complaint_id").alias("ids"))
+
+
 def _bursts(spark, d):
     return bursts.company_bursts(_c(spark, d), AS_OF, 5, 2.5)
 
@@ -251,6 +263,7 @@ QUERIES = {
     "emit_companies": lambda s, d: index.emit_companies(index.fold(facts(s, d)), AS_OF, TEMPLATE_MIN, 5),
     "emit_relief": lambda s, d: index.emit_relief(index.fold(facts(s, d)), AS_OF, TEMPLATE_MIN, 3),
     "payload_checks": _checks,
+    "extraction_resumed": _extracted,
     "upsert_latest": _upsert,
     "population_unpivot": _unpivot,
     "sextile_buckets": lambda s, d: windows.quantile_buckets(_rates(s, d).where("year = 1997").select("state", "rate_per_100k"), "rate_per_100k").select("state", "bucket"),

@@ -42,3 +42,16 @@ def test_fetch_again_changes_nothing(spark, data):
 def test_unknown_segment(spark, data):
     with pytest.raises(SystemExit):
         cli.main(["status", "--data", str(data), "--segments", "nothing"], spark)
+
+
+def test_fetch_goes_on_from_its_ledger(spark, data):
+    args = ["fetch", "--append", "--data", str(data), "--source", str(data / "x.csv")]
+    cli.main([*args, "--anew"], spark)
+    before = {(r.filter_key, r.window_start) for r in spark.read.parquet(f"{data}/ledger").collect()}
+    rows = spark.read.parquet(f"{data}/ledger").count()
+    cli.main(args, spark)
+    log = spark.read.parquet(f"{data}/ledger").collect()
+    again = [r for r in log if r.window_end >= dt.date(2019, 1, 3) + dt.timedelta(days=4 * 399 - 60)]
+    assert {(r.filter_key, r.window_start) for r in log} == before and len({r.filter_key for r in log}) == 2
+    assert rows < len(log) <= rows + len(again) and all(r.received == r.expected and r.inserted == 0 for r in log)
+    assert spark.read.parquet(f"{data}/complaints").count() == 400

@@ -383,3 +383,27 @@ def test_payload_shape(spark):
     assert {"meta", "headline", "trend", "volume", "states", "companies", "relief", "relief_window"} <= set(payload)
     assert all(len(s["counts"]) == len(payload["volume"]["months"]) for s in payload["volume"]["series"])
     assert sinks.to_json(payload)
+
+
+def test_passes_take_each_case_once_and_done_windows_are_passed_over(spark):
+    import datetime as dt
+
+    from casewright.sources import extraction
+
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(200)]
+    rows = [(1000 * i + k, d, "A" if k else "B", int(k % 3 == 0)) for i, d in enumerate(days) for k in range(1 + i % 7)]
+    c = spark.createDataFrame(rows, "complaint_id long, date_received date, product string, has_narrative int")
+    passes = {"split": ((1, 5), (0, 40)), "with": ((1, 5),), "without": ((0, 40),), "any": ((None, 30),)}
+    want = {"split": lambda r: True, "any": lambda r: True, "with": lambda r: r[3] == 1, "without": lambda r: r[3] == 0}
+    for mode in passes:
+        windows = extraction.plan(c, ["A"], "2020-01-01", "2020-07-18", mode, passes)
+        got = extraction.extract(c, windows, ["A"])
+        assert sorted(r.complaint_id for r in got.collect()) == sorted(r[0] for r in rows if r[2] == "A" and want[mode](r))
+        done = extraction.entries(windows, got, c.where("complaint_id < 50000"))
+        assert all(r.received == r.expected for r in done.collect())
+        left = extraction.pending(windows, done, "2020-07-18").collect()
+        assert left and all(r.window_end >= dt.date(2020, 5, 19) for r in left)
+        assert extraction.pending(windows, done, "2020-07-18", resume=False).count() == windows.count()
+    assert extraction.plan(c.limit(0), ["A"], "2020-01-01", "2020-07-18").count() == 0
+    with pytest.raises(ValueError):
+        extraction.plan(c, ["A"], "2020-01-01", "2020-07-18", "none")
