@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casewright import dims
 from casewright.operators.geo import pearson
 from casewright.operators.joins import first_k
+from casewright.storage import small
 
 
 def issue_topk(c: DataFrame, by: Column, k: int = 6) -> DataFrame:
@@ -24,7 +25,7 @@ def geo_split(flagged: DataFrame, population: DataFrame, segment: str, year: int
     """Templated and organic cases per 100,000 by state, for states with at least ``floor`` of both together."""
     per = flagged.where((F.col("segment") == segment) & F.col("month").startswith(f"{year}-")).groupBy("state").agg(F.sum("templated").alias("templated"), F.sum(1 - F.col("templated")).alias("organic"))
     latest = population.join(F.broadcast(population.agg(F.max("year").alias("year"))), "year", "left_semi").select("state", "population")
-    per = per.where(~F.col("state").isin(list(non_states)) & (F.col("templated") + F.col("organic") >= floor)).join(F.broadcast(latest), "state")
+    per = per.where(~F.col("state").isin(list(non_states)) & (F.col("templated") + F.col("organic") >= floor)).join(small(latest), "state")
     rate = lambda c: (F.col(c) / F.col("population") * 100000).alias(f"{c}_per_100k")
     return per.select("state", "templated", "organic", rate("templated"), rate("organic"))
 

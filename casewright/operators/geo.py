@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casewright import dims
 from casewright.operators.series import in_scope
 from casewright.operators.windows import group_robust_z
+from casewright.storage import small
 
 
 def state_year_rates(c: DataFrame, population: DataFrame, segments=None, start=None, end=None, non_states=dims.NON_STATES) -> DataFrame:
@@ -18,7 +19,7 @@ def state_year_rates(c: DataFrame, population: DataFrame, segments=None, start=N
     """
     counts = c.where(in_scope(segments, start, end)).where(~F.col("state").isin(list(non_states))).groupBy("state", F.year("date_received").alias("year")).agg(F.count(F.lit(1)).alias("complaints"))
     latest = population.join(F.broadcast(population.agg(F.max("year").alias("year"))), "year", "left_semi").select("state", F.col("population").alias("latest"))
-    out = counts.join(F.broadcast(population), ["state", "year"], "left").join(F.broadcast(latest), "state", "left")
+    out = counts.join(small(population), ["state", "year"], "left").join(small(latest), "state", "left")
     out = out.withColumn("carried_forward", F.col("population").isNull()).withColumn("population", F.coalesce("population", "latest")).where("population is not null").drop("latest")
     return out.withColumn("rate_per_100k", F.col("complaints") / F.col("population") * 100000)
 

@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 def within_days(left: DataFrame, events: DataFrame, day: Column, days: int, on: list[str] | None = None, how: str = "left") -> DataFrame:
     """``left`` with every event (event_date, description) within ``days`` of ``day``, of equal ``on`` columns; adds ``gap``.
 
-    ``events`` is a dimension of fixed size, so it is broadcast and the equality stays a hash key.
+    Days are cut into blocks as long as an event's reach, which therefore touches two at most: both
+    sides meet by block, so neither has to be small and Spark broadcasts one only by its size.
     """
+    block = lambda d: F.floor(F.unix_date(d.cast("date")) / (2 * days + 1))
+    reach = F.array_distinct(F.array(block(F.date_sub("event_date", days)), block(F.date_add("event_date", days))))
+    left, events = left.withColumn("_day_block", block(day)), events.withColumn("_event_block", F.explode(reach))
     gap = F.abs(F.datediff(day, F.col("event_date")))
-    near = gap <= days
+    near = (F.col("_day_block") == F.col("_event_block")) & (gap <= days)
     for c in on or []:
         near = (left[c] == events[c]) & near
-    out = left.join(F.broadcast(events), near, how).withColumn("gap", gap)
+    out = left.join(events, near, how).withColumn("gap", gap)
     for c in on or []:
         out = out.drop(events[c])
-    return out
+    return out.drop("_day_block", "_event_block")
 
 
 def closest(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 _written: set[str] = set()
@@ -63,6 +64,16 @@ def release(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+#: Bytes up to which Spark's estimate lets a side be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if Spark's estimate of its size is within ``limit``; else as it is, joined by shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores; an input with more stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -407,3 +407,25 @@ def test_passes_take_each_case_once_and_done_windows_are_passed_over(spark):
     assert extraction.plan(c.limit(0), ["A"], "2020-01-01", "2020-07-18").count() == 0
     with pytest.raises(ValueError):
         extraction.plan(c, ["A"], "2020-01-01", "2020-07-18", "none")
+
+
+def test_events_within_days_meet_by_block(spark):
+    import datetime as dt
+
+    from casewright.operators import joins
+
+    base = dt.date(1969, 12, 20)
+    left = spark.createDataFrame([(i, base + dt.timedelta(i)) for i in range(60)] + [(99, None)], "id long, day date")
+    events = spark.createDataFrame([(base + dt.timedelta(i), f"e{i}") for i in (0, 3, 11, 12, 29, 29, 58)], "event_date date, description string")
+    for days in (0, 1, 5, 40):
+        got = sorted((r.id, r.description, r.gap) for r in joins.within_days(left, events, F.col("day"), days, how="inner").collect())
+        want = sorted((i, f"e{e}", abs(i - e)) for i in range(60) for e in (0, 3, 11, 12, 29, 29, 58) if abs(i - e) <= days)
+        assert got == want
+        assert joins.within_days(left, events, F.col("day"), days).select("id").distinct().count() == 61
+
+
+def test_large_sides_are_not_marked_for_broadcast(spark):
+    from casewright.storage import small
+
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(small(spark.range(10))) and not hinted(small(spark.range(10), limit=1))
