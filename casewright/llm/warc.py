@@ -2,8 +2,10 @@
 
 A not-modified capture is joined as of its time to the latest strictly earlier full
 response (a status of ``COMPLETE``) of the same canonical URL. The join is a running maximum over both record kinds,
-in two levels - time buckets of a URL, then rows within a bucket - so a URL with a third of
-all captures is spread over many tasks. Validators must agree (entity tags compared weakly,
+in two levels - buckets of a URL, then rows within a bucket. Buckets are ranges of (URL, time)
+with about ``bucket_rows`` captures each, so a URL with a third of all captures is spread over
+many tasks, however short the time they fall in; only captures of one URL and one time stay
+together. Validators must agree (entity tags compared weakly,
 else modification dates); then the response's headers are taken and the permitted ones of
 the 304 replace them. Only DataFrame functions; bodies are not moved.
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm._store import table
+from casewright.llm._store import materialize, table
 
 #: Fields a 304 may update in the stored response.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -45,6 +47,12 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, r"^W/", "")
 
 
+def bucketed(captures: DataFrame, bucket_rows: int) -> DataFrame:
+    """``captures`` with their ``bucket``, rising with (curl, ts). A written table, since every reading of sampled ranges could cut them anew."""
+    ranges = max(1, -(-captures.count() // bucket_rows))
+    return materialize(captures.repartitionByRange(ranges, "curl", "ts").withColumn("bucket", F.spark_partition_id()), "captures")
+
+
 def resolve_revisits(records: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per 304 of ``records`` (record_id long, url, ts long, status int, headers map, digest).
 
@@ -56,9 +64,7 @@ def resolve_revisits(records: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Data
         "record_id", canonical_url(F.col("url")).alias("curl"), "ts", (F.col("status") == 304).alias("revisit"), F.col("status").isin(*COMPLETE).alias("complete"), header("etag").alias("etag"), header("last-modified").alias("modified"), fields.alias("fields"), "digest"
     )
     keyed = rows.where("curl is not null and ts is not null")
-    n, low, high = keyed.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) // max(1, -(-n // bucket_rows)))
-    keyed = keyed.withColumn("bucket", F.floor((F.col("ts") - F.lit(low or 0)) / width))
+    keyed = bucketed(keyed, bucket_rows)
     full = F.when(F.col("complete"), F.struct("ts", "record_id", "etag", "modified", "digest", "fields"))
     ends = keyed.where("complete").groupBy("curl", "bucket").agg(F.max(full).alias("end"))
     wanted = keyed.where("revisit").select("curl", "bucket").distinct().withColumn("end", F.lit(None).cast(ends.schema["end"].dataType))

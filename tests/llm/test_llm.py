@@ -513,6 +513,23 @@ def test_revisits_by_usual_header_names_and_complete_responses(spark, bucket_row
     assert found[2].headers == {"Content-Length": "5", "Etag": 'W/"x"', "Date": "20"}
 
 
+def test_a_url_captured_densely_is_cut_by_captures_not_by_time(spark):
+    rows = [(i, "http://hot.com", 1_000_000 + i // 2, 200 if i % 6 == 0 else 304, {"etag": f'"{i // 12}"'}, "d", "x") for i in range(600)]
+    rows += [(1000 + i, f"http://u{i}.com", i * 40_000, 200 if i % 2 else 304, {"etag": '"x"'}, "d", "x") for i in range(100)]
+    log = spark.createDataFrame(rows, RECORDS).repartition(4)
+    found = lambda n: sorted((r.record_id, r.resolution, -1 if r.response_id is None else r.response_id) for r in warc.resolve_revisits(log, n).collect())
+    fine = found(20)
+    want = []
+    for i, url, ts, status, tags, *_ in rows:
+        if status == 304:
+            last = max(((t, j, g) for j, u, t, s, g, *_ in rows if u == url and s == 200 and t < ts), key=lambda r: r[:2], default=None)
+            good = last is not None and last[2] == tags
+            want.append((i, "no_response" if last is None else "resolved" if good else "validator_mismatch", last[1] if good else -1))
+    assert fine == found(10**6) == sorted(want) and {r[1] for r in fine} == {"no_response", "resolved", "validator_mismatch"}
+    sizes = [r["count"] for r in warc.bucketed(log.withColumnRenamed("url", "curl").drop("bucket"), 20).groupBy("curl", "bucket").count().collect()]
+    assert sum(sizes) == 700 and max(sizes) <= 80
+
+
 # --- 10 toxicity ---------------------------------------------------------------------------
 
 
