@@ -40,11 +40,15 @@ def text_hash(normalized: Column, min_tokens: int = MIN_TOKENS) -> Column:
 
 
 def shingles(normalized: Column, k: int = 5) -> Column:
-    """Distinct word k-grams; the whole text under k words; empty for an empty text."""
-    words = F.split(normalized, " ")
-    n = F.size(words)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " ")))
-    return F.when(F.length(normalized) == 0, F.array().cast("array<string>")).when(n < k, F.array(normalized)).otherwise(grams)
+    """Distinct word k-grams; the whole text under k words; empty for an empty text. Work grows with the text's length."""
+
+    def grams(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " ")))
+
+    # The outer lambda binds the words: spelled out in the inner one, the split would run again for every shingle.
+    bound = F.element_at(F.transform(F.array(F.split(normalized, " ")), grams), 1)
+    return F.when(F.length(normalized) == 0, F.array().cast("array<string>")).otherwise(bound)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -33,6 +34,15 @@ def test_shingles(spark, words, n):
     assert len(one(spark, " ".join(f"w{i}" for i in range(words)), text.shingles)) == n
 
 
+def test_shingles_of_a_long_text_split_it_once(spark):
+    words = [f"w{i % 17}x{i % 1009}" for i in range(30_000)]
+    want = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+    start = time.monotonic()
+    got = one(spark, " ".join(words), text.shingles)
+    assert time.monotonic() - start < 15  # the square of the words took minutes
+    assert len(got) == len(want) and set(got) == want
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.text(max_size=60))
 def test_normalize_is_idempotent(spark, raw):
