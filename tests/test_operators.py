@@ -70,6 +70,22 @@ def test_the_registered_gap_filled_series_counts_every_case(spark):
     assert all(min(by) == min(want[e]) and max(by) == max(want[e]) for e, by in got.items())
 
 
+@pytest.mark.parametrize("name", ["gap_filled_series", "gap_filled_companies"])
+def test_negative_customer_keys_have_the_names_of_the_sql(spark, tmp_path, name):
+    import duckdb
+
+    from casewright.plans import oracle, queries
+    from tests.conftest import SF, rows_of
+
+    con = duckdb.connect()
+    for t, k in (("orders", "o_custkey"), ("customer", "c_custkey"), ("nation", None), ("documents", None)):
+        con.sql(f"copy (select * {f'replace (-{k} as {k})' if k else ''} from '{SF}/{t}.parquet') to '{tmp_path}/{t}.parquet'")
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    want = con.sql(oracle.ORACLE["gap_filled_companies"])  # every case; the twin of gap_filled_series keeps a third
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(want.columns, want.fetchall())
+
+
 def test_nearest_event_takes_the_first_of_equals(spark):
     day = spark.createDataFrame([(dt.date(2000, 1, 11),)], "d date")
     got = joins.nearest_event(day, dims.milestones(spark, (("b", "2000-01-01"), ("a", "2000-01-21"))), F.col("d")).first()
